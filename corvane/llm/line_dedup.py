@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corvane.llm._shared import delete_path, shared_path, staged
 
@@ -85,11 +86,13 @@ def _bounds(docs: DataFrame, batches: int) -> list[int]:
     return sorted(set(cuts or []))
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """(id, text, n_lines, n_dropped): lines whose key is in at least ``min_docs``
-    documents go, except in the largest id holding the key; the rest is joined by LF."""
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3, carry: list[str] | None = None) -> DataFrame:
+    """(id, text, n_lines, n_dropped, and the columns named in ``carry``): lines whose
+    key is in at least ``min_docs`` documents go, except in the largest id holding the
+    key; the rest is joined by LF."""
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(c) for c in carry)).alias("carried") if carry else F.lit(None).cast("int").alias("carried"))
+    docs = rows.select("id", "text")
     cuts = np.array(_bounds(docs, batches), np.int64)
 
     def keys(parts):
@@ -140,8 +143,10 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
                 kept.append("\n".join(stay))
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(stay))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [id_col, text_col, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), part.column(3)], ["id", "text", "n_lines", "n_dropped", "carried"])
 
     # per document only its own lost keys: the small side is hashed, texts are not sorted
-    joined = docs.join(lost.hint("shuffle_hash"), "id", "left").select("id", "text", "lost")
-    return joined.mapInArrow(cut, f"`{id_col}` long, `{text_col}` string, n_lines long, n_dropped long")
+    joined = rows.join(lost.hint("shuffle_hash"), "id", "left").select("id", "text", "lost", "carried")
+    schema = StructType([*docs.schema, StructField("n_lines", LongType()), StructField("n_dropped", LongType()), rows.schema["carried"]])
+    out = joined.mapInArrow(cut, schema)
+    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_lines", "n_dropped", *(F.col("carried").getField(c).alias(c) for c in carry or ()))

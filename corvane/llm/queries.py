@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe_codec, line_dedup, ngram_jaccard, token_counts, token_files
+from corvane.llm import bpe_codec, decontamination, kneser_ney, line_dedup, ngram_jaccard, token_counts, token_files
 from corvane.llm._shared import shared_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps, with their perplexities and limits."""
+    docs = _table(spark, sf_dir, "documents")
+    model = kneser_ney.fit(docs, _table(spark, sf_dir, "labels"))
+    return kneser_ney.classify(docs, model).where("keep").select("doc_id", "lang", "perplexity", "low", "high")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -30,6 +37,11 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.ngram_jaccard(_table(spark, sf_dir, "documents"))
 
 
+def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents, with the items they hold."""
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(_table(spark, sf_dir, "documents"), BYTE_BPE, shared_path(spark, "token_files"), end_id=0)
     return token_files.read_token_files(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -40,7 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_line_dedup, op5_bpe_codec, op6_ngram_jaccard, op9_token_files, op10_token_counts)}
+    return {f.__name__: f for f in (op3_kneser_ney, op4_line_dedup, op5_bpe_codec, op6_ngram_jaccard, op8_string_tiling, op9_token_files, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
