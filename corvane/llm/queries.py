@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe_codec, decontamination, kneser_ney, line_dedup, ngram_jaccard, token_counts, token_files
+from corvane.llm import bpe_codec, chroma_prints, decontamination, html_layout, kneser_ney, line_dedup, ngram_jaccard, token_counts, token_files, warc_derivatives
 from corvane.llm._shared import shared_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two derived records of every page's response record."""
+    pages = warc_derivatives.responses(_table(spark, sf_dir, "pages"))
+    out = warc_derivatives.derivatives(pages, "page_id")
+    return out.withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
+def op2_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.rendered(_table(spark, sf_dir, "pages"))
+
+
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, with their perplexities and limits."""
     docs = _table(spark, sf_dir, "documents")
@@ -37,6 +48,13 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.ngram_jaccard(_table(spark, sf_dir, "documents"))
 
 
+def op7_chroma_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments of every hundredth recording with all recordings."""
+    audio = chroma_prints.recordings(_table(spark, sf_dir, "embeddings"))
+    cuts = chroma_prints.fit_cuts(audio, "id", "pcm")
+    return chroma_prints.search(chroma_prints.fingerprints(audio, cuts))
+
+
 def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contaminated documents, with the items they hold."""
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -52,7 +70,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_kneser_ney, op4_line_dedup, op5_bpe_codec, op6_ngram_jaccard, op8_string_tiling, op9_token_files, op10_token_counts)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_html_layout, op3_kneser_ney, op4_line_dedup, op5_bpe_codec, op6_ngram_jaccard, op7_chroma_prints, op8_string_tiling, op9_token_files, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
