@@ -55,7 +55,14 @@ def record_batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatc
     )
 
 
-def text_chunks(texts: list, limit: int = 1 << 20):
+def slices(batches, rows: int = 1000):
+    """Arrow batches of at most ``rows`` rows: bounds what is held as Python objects."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def text_chunks(texts: list, limit: int = 1 << 19):
     """Cut a batch into slices of about ``limit`` characters; a text stays whole."""
     lo, size = 0, 0
     for i, t in enumerate(texts):

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm._bytebpe import ByteVocab, byte_starts, cut_pretokens, joined_points, load_vocab
-from corvane.llm._shared import text_chunks
+from corvane.llm._shared import slices, text_chunks
 
 #: Distinct fragments a worker remembers; when full, it starts anew (speed only).
 CACHE_ENTRIES = 1 << 20
@@ -109,7 +109,7 @@ def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         coder = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = coder.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [id_col, "ids"])
 
@@ -123,7 +123,7 @@ def encode_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
 
     def run(batches):
         coder = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = coder.encode(batch.column(1).to_pylist())
             decoded = [coder.decode(x) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], [id_col, "ids", "decoded"])
@@ -142,7 +142,7 @@ def decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col:
 
     def run(batches):
         coder = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [coder.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "decoded"])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._shared import text_chunks
+from corvane.llm._shared import slices, text_chunks
 from corvane.llm._words import chain, word_hashes
 
 BLOCK_TOKENS = 2_000_000
@@ -203,7 +203,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, threshold: float = 0.5, mi
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            for batch in batches:
+            for batch in slices(batches):
                 rows = [[] for _ in names]
                 for i, hits in zip(batch.column(0).to_pylist(), shared.value.verdicts(batch.column(1).to_pylist(), threshold), strict=True):
                     if hits:
@@ -225,7 +225,7 @@ def keep_clean(df: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_
         shared = df.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            for batch in batches:
+            for batch in slices(batches):
                 keep = [not hits for hits in shared.value.verdicts(batch.column(at).to_pylist(), threshold)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm._shared import slices
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title noscript plaintext".split())
 HIDDEN = frozenset("head script style template noscript noembed noframes iframe title datalist object audio video canvas svg math select".split())
@@ -410,7 +412,7 @@ def rendered(df: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     kind = source.schema[0].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [render(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(texts, pa.string()), pa.array([x.count("\n") + 1 if x else 0 for x in texts], pa.int64()), pa.array(list(map(len, texts)), pa.int64())], [id_col, "text", "n_lines", "n_chars"]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._shared import staged, text_chunks
+from corvane.llm._shared import slices, staged, text_chunks
 
 ORDER = 5
 #: Characters of a model: the commonest ones; all others are one unknown sign.
@@ -206,7 +206,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     def count_signs(batches):
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at, k = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_counts=True)
                 total.setdefault(lang or POOLED, np.zeros(0x110000 + 1, np.int64))[at] += k
@@ -235,7 +235,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
             sums[lang] = code, np.bincount(back, weights=weight, minlength=len(code)).astype(np.int64)
             held[lang] = []
 
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 key = lang if lang in own else POOLED
                 held.setdefault(key, []).append(_codes(text, table))
@@ -280,7 +280,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 def _scored(docs: DataFrame, shared) -> DataFrame:
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             langs = batch.column(1).to_pylist()
             ppl = model.score(langs, batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.language(x) for x in langs], pa.string()), pa.array(ppl, pa.float64())], ["id", "model", "perplexity"])
@@ -295,7 +295,7 @@ def classify(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_co
 
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             ppl = model.score(langs, texts)
             limits = [model.limits.get(model.language(x), (None, None)) for x in langs]
@@ -312,7 +312,7 @@ def keep_good(df: DataFrame, model: QualityModel, text_col: str = "text", lang_c
 
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             langs, texts = batch.column(lang_at).to_pylist(), batch.column(text_at).to_pylist()
             keep = [model.kept(*x) for x in zip(langs, texts, model.score(langs, texts), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))

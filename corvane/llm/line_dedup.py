@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from corvane.llm._shared import delete_path, shared_path, staged
+from corvane.llm._shared import delete_path, shared_path, slices, staged
 
 #: The signs stripped from both ends of a line.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -96,7 +96,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     cuts = np.array(_bounds(docs, batches), np.int64)
 
     def keys(parts):
-        for part in parts:
+        for part in slices(parts):
             digests, ids = [], []
             for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 if text and i is not None:
@@ -131,7 +131,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     )
 
     def cut(parts):
-        for part in parts:
+        for part in slices(parts):
             kept, n_lines, n_dropped = [], [], []
             for text, gone in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 lines = (text or "").split("\n")

@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm._components import connected_components
-from corvane.llm._shared import staged, text_chunks
+from corvane.llm._shared import slices, staged, text_chunks
 from corvane.llm._words import shingle_sets
 
 #: The counter table: 2**COUNTER_BITS counters, whatever the size of the input.
-COUNTER_BITS = 24
-BLOCK_BITS = 16
+COUNTER_BITS = 22
+BLOCK_BITS = 14
 #: A shingle whose counter passes this share of all documents has its list split.
 HOT_SHARE, SPLITS = 0.01, 32
 #: A leader's members are verified in lots of this size.
@@ -82,7 +82,7 @@ def _first_pass(docs: DataFrame, width: int, seed: int) -> DataFrame:
 
         none = lambda n, t: pa.nulls(n, t)
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             n, sid, check = [], [], []
             for s in _sets(batch.column(1).to_pylist(), width, seed):
                 a, b = _signature(s)
@@ -91,7 +91,7 @@ def _first_pass(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 check.append(b)
                 held.append((s >> np.uint64(64 - COUNTER_BITS)).astype(np.uint32))
                 size += len(s)
-                if size > 1 << 21:
+                if size > 1 << 20:
                     flush()
                     size = 0
             k = len(n)
@@ -152,7 +152,7 @@ def _postings(docs: DataFrame, table, hot_level: int, width: int, seed: int, per
     def run(batches):
         levels = table.value
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             hs, sids, ns, poss, hots = [], [], [], [], []
             for s in _sets(batch.column(0).to_pylist(), width, seed):
                 n = len(s)
@@ -217,7 +217,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, s
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
 
     def sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = list(_sets(batch.column(0).to_pylist(), width, seed))
             yield pa.RecordBatch.from_arrays([pa.array([_signature(s)[0] for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["sid", "items"])
 
@@ -230,7 +230,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, s
 
     def check(batches):
         of, leader = None, None
-        for batch in batches:
+        for batch in slices(batches):
             a_out, b_out = [], []
             for a, lot, kind, b, items in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 own = np.frombuffer(items, np.uint64)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm._bytebpe import ByteVocab, cut_pretokens, joined_points, load_vocab
-from corvane.llm._shared import text_chunks
+from corvane.llm._shared import slices, text_chunks
 
 CACHE_ENTRIES = 1 << 20
 _NONE = np.int64(1) << 40
@@ -147,7 +147,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, limit: int = 512, id_col: s
         import pyarrow.compute as pc
 
         model = counter(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             text = batch.column(1)
             n = pa.array(model.counts(text.to_pylist()), pa.int64())
             size = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm._shared import slices
 from corvane.llm.html_layout import attributes, render
 
 #: Fixed values of the WARC 1.1 standard.
@@ -180,7 +181,7 @@ def derivatives(df: DataFrame, id_col: str, record_col: str = "record") -> DataF
     kind = source.schema[0].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, rows = [], []
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for r in derive(raw):
@@ -197,7 +198,7 @@ def responses(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     kind = source.schema[0].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             raw = [response_record(u, h) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], [id_col, "record"])
 
