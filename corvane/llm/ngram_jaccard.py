@@ -14,7 +14,7 @@ suffix filters; links and components without emitting all pairs of a group.
 4. Each distinct pair is verified once against both whole sets (a suffix filter,
    then the exact intersection).
 5. Links give components.  Lists that still hold several components give the pairs
-   between them (length and positional filters) that were not verified before; those
+   between them (length, positional and parity filters) that were not verified before; those
    are verified too, and the components joined.  Thus every link between different
    components is found; links inside a component need no proof.
 
@@ -66,9 +66,18 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return tuple(np.array([xxhash.xxh3_64_intdigest(raw), xxhash.xxh64_intdigest(raw)], np.uint64).view(np.int64).tolist())
 
 
+#: Columns of a set's parities: bit k is the parity of its hashes that end in k (of 256).
+PARITY = ("p0", "p1", "p2", "p3")
+
+
+def _parity(s: np.ndarray) -> np.ndarray:
+    """256 parities; where two sets' parities differ, the sets differ at least once each."""
+    return np.packbits((np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _first_pass(docs: DataFrame, width: int, seed: int) -> DataFrame:
     """Rows of documents (id, n, sid, check) and rows of counters (part, block, counts)."""
-    names = ["id", "n", "sid", "check", "part", "block", "counts"]
+    names = ["id", "n", "sid", "check", *PARITY, "part", "block", "counts"]
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -83,19 +92,20 @@ def _first_pass(docs: DataFrame, width: int, seed: int) -> DataFrame:
         none = lambda n, t: pa.nulls(n, t)
         size = 0
         for batch in slices(batches):
-            n, sid, check = [], [], []
+            n, sid, check, parity = [], [], [], []
             for s in _sets(batch.column(1).to_pylist(), width, seed):
                 a, b = _signature(s)
                 n.append(len(s))
                 sid.append(a)
                 check.append(b)
+                parity.append(_parity(s))
                 held.append((s >> np.uint64(64 - COUNTER_BITS)).astype(np.uint32))
                 size += len(s)
                 if size > 1 << 20:
                     flush()
                     size = 0
             k = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(check, pa.int64()), none(k, pa.int64()), none(k, pa.int32()), none(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(check, pa.int64()), *(pa.array(x) for x in np.array(parity, np.int64).reshape(-1, 4).T.copy()), none(k, pa.int64()), none(k, pa.int32()), none(k, pa.binary())], names)
         flush()
         part, pack = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
         blocks, packed = [], []
@@ -106,9 +116,9 @@ def _first_pass(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 packed.append(pack.compress(own.tobytes()))
         k = len(blocks)
         if k:
-            yield pa.RecordBatch.from_arrays([*(none(k, pa.int64()) for _ in range(4)), pa.array([part] * k, pa.int64()), pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(none(k, pa.int64()) for _ in range(4 + len(PARITY))), pa.array([part] * k, pa.int64()), pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], names)
 
-    return docs.mapInArrow(run, "id long, n long, sid long, check long, part long, block int, counts binary")
+    return docs.mapInArrow(run, f"id long, n long, sid long, check long, {', '.join(f'{p} long' for p in PARITY)}, part long, block int, counts binary")
 
 
 def _sum_counters(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -147,7 +157,9 @@ def _need(n: int, percent: int) -> int:
 
 
 def _postings(docs: DataFrame, table, hot_level: int, width: int, seed: int, percent: int) -> DataFrame:
-    """(h, salt, sid, n, pos): each class's prefix n-grams, rarest first."""
+    """(k, sid, packed): each class's prefix n-grams, rarest first.  k is the n-gram's
+    hash, for hot n-grams moved by the salt of the class; packed holds whether it is
+    hot, the position and the set's size (30 bits each): three longs a posting."""
 
     def run(batches):
         levels = table.value
@@ -167,17 +179,19 @@ def _postings(docs: DataFrame, table, hot_level: int, width: int, seed: int, per
                 hs.append(s[order])
                 hots.append(level[order] >= hot_level)
                 sids.append(np.full(p, sid, np.int64))
-                ns.append(np.full(p, n, np.int32))
-                poss.append(np.arange(p, dtype=np.int32))
+                ns.append(np.full(p, n, np.int64))
+                poss.append(np.arange(p, dtype=np.int64))
             if not hs:
                 continue
             sid = np.concatenate(sids)
-            salt = np.where(np.concatenate(hots), 1 + (sid.view(np.uint64) % np.uint64(SPLITS)).astype(np.int32), 0).astype(np.int32)
-            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(salt), pa.array(sid), pa.array(np.concatenate(ns)), pa.array(np.concatenate(poss))], ["h", "salt", "sid", "n", "pos"])
+            hot = np.concatenate(hots)
+            key = np.concatenate(hs).view(np.int64) ^ np.where(hot, (sid & (SPLITS - 1)) + 1, 0)
+            packed = (hot.astype(np.int64) << 60) | (np.concatenate(poss) << 30) | np.concatenate(ns)
+            out = pa.RecordBatch.from_arrays([pa.array(key), pa.array(sid), pa.array(packed)], ["k", "sid", "packed"])
             for lo in range(0, out.num_rows, 50_000):
                 yield out.slice(lo, 50_000)
 
-    return docs.select("text").mapInArrow(run, "h long, salt int, sid long, n int, pos int")
+    return docs.select("text").mapInArrow(run, "k long, sid long, packed long")
 
 
 def _bounds(a_n: str, a_pos: str, b_n: str, b_pos: str, percent: int):
@@ -252,8 +266,8 @@ def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     for seed in range(1, 9):
         first = staged(_first_pass(docs, width, seed), "first_pass")
-        rows = first.where("n is not null").select("id", "n", "sid", "check")
-        classes = staged(rows.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.count("*").alias("k"), F.min("check").alias("c0"), F.max("check").alias("c1")), "classes")
+        rows = first.where("n is not null").select("id", "n", "sid", "check", *PARITY)
+        classes = staged(rows.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.count("*").alias("k"), F.min("check").alias("c0"), F.max("check").alias("c1"), *(F.min(p).alias(p) for p in PARITY)), "classes")
         if classes.where("c0 <> c1").limit(1).count() == 0:
             break  # no two different sets share a signature
     levels = _counter_table(first)
@@ -262,9 +276,15 @@ def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = spark.sparkContext.broadcast(levels)
 
     posted = _postings(docs, table, hot_level, width, seed, percent)
-    in_list = Window.partitionBy("h", "salt").orderBy("pos", "sid").rowsBetween(Window.unboundedPreceding, 0)
-    lead = F.first(F.struct("sid", "n", "pos")).over(in_list)
-    lists = posted.withColumn("lead", lead).select("h", "salt", "sid", "n", "pos", F.col("lead.sid").alias("l_sid"), F.col("lead.n").alias("l_n"), F.col("lead.pos").alias("l_pos"))
+    # packed sorts by (hot, position, size), so the first of a list has the fewest rarer n-grams
+    in_list = Window.partitionBy("k").orderBy("packed", "sid").rowsBetween(Window.unboundedPreceding, 0)
+    lists = posted.withColumn("l_sid", F.first("sid").over(in_list)).withColumn("l_packed", F.first("packed").over(in_list))
+    hot = "packed >= (1L << 60)"
+    low30 = (1 << 30) - 1
+    lists = lists.select(
+        F.expr(f"k ^ if({hot}, (sid & {SPLITS - 1}) + 1, 0L)").alias("h"), F.expr(f"if({hot}, (sid & {SPLITS - 1}) + 1, 0L)").alias("salt"), "sid", "l_sid",
+        *(F.expr(f"cast(({p}packed >> {b}) & {low30} as int)").alias(f"{p}{c}") for p in ("", "l_") for c, b in (("n", 0), ("pos", 30))),
+    )
     # a list's only member has no partner; the only member of one split may have
     lists = staged(lists.where("sid <> l_sid or salt > 0"), "lists")
 
@@ -281,10 +301,14 @@ def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = members.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     members = staged(members, "members")
     mixed = members.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
-    members = staged(members.join(mixed, "h"), "mixed")
-    a = members.select("h", *(F.col(c).alias(f"a_{c}") for c in ("sid", "n", "pos", "comp")))
-    b = members.select("h", *(F.col(c).alias(f"b_{c}") for c in ("sid", "n", "pos", "comp")))
-    across = a.join(b, (a.h == b.h) & (F.col("a_comp") < F.col("b_comp")) & _bounds("a_n", "a_pos", "b_n", "b_pos", percent)).select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
+    members = members.join(mixed, "h").join(classes.select("sid", *PARITY), "sid")
+    members = staged(members, "mixed")
+    a = members.select("h", *(F.col(c).alias(f"a_{c}") for c in ("sid", "n", "pos", "comp", *PARITY)))
+    b = members.select("h", *(F.col(c).alias(f"b_{c}") for c in ("sid", "n", "pos", "comp", *PARITY)))
+    # the suffix filter without the sets: parities that differ bound the difference
+    apart = " + ".join(f"bit_count(a_{p} ^ b_{p})" for p in PARITY)
+    suffix = F.expr(f"{100 + percent} * ({apart}) <= {100 - percent} * (a_n + b_n)")
+    across = a.join(b, (a.h == b.h) & (F.col("a_comp") < F.col("b_comp")) & _bounds("a_n", "a_pos", "b_n", "b_pos", percent) & suffix).select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
     done = star.union(star.select(F.col("b"), F.col("a")))
     across = staged(across.join(done, ["a", "b"], "left_anti"), "across")
     if across.limit(1).count():
@@ -296,6 +320,6 @@ def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = staged(named.join(least, "comp").select("sid", "component_id"), "named")
     salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    rows = rows.drop(*PARITY).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     out = rows.join(salted, ["sid", "salt"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.expr("if(n > 0, coalesce(component_id, id), id)").alias("component_id"))
