@@ -21,7 +21,7 @@ suffix filters; links and components without emitting all pairs of a group.
 Defined results: null or empty texts, and texts of blanks only, have an empty set,
 0 shingles, and are linked with nothing; fewer words than ``width`` make one shingle
 of all words; rows that share an id share nothing but the id; a row with a null id
-takes the component of its class (null if alone); an empty table gives an empty
+takes the component of its class (null if no row of its class has an id); an empty table gives an empty
 table; extra columns are not carried.
 """
 
@@ -46,8 +46,8 @@ BLOCK_BITS = 14
 HOT_SHARE, SPLITS = 0.01, 32
 #: A leader's members are verified in lots of this size.
 LOT = 400
-#: At most so many ids (8 bytes each) are broadcast; beyond, the join is shuffled.
-BROADCAST_IDS = 1_000_000
+#: At most so many ids with their routes (some 100 bytes each) are broadcast; beyond, the join is shuffled.
+BROADCAST_IDS = 300_000
 SALTS = 16
 
 
@@ -226,21 +226,29 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, s
     are made again from their texts; a leader's set is sent once per lot of members."""
     pairs = staged(pairs.join(pairs.groupBy("a").agg(F.count("*").alias("k")), "a"), "pairs").withColumn("lots", F.expr(f"cast(ceil(k / {LOT}) as int)"))
     pairs = pairs.withColumn("lot", F.expr("cast(pmod(b, lots) as int)")).drop("k")
-    sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    ids = staged(classes.join(sids, "sid").select(F.col("rep").alias("id")), "wanted")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+    route = lambda kind: F.struct("a", "lot", F.lit(kind).alias("kind"))
+    members = pairs.select(F.col("b").alias("sid"), route(1).alias("route"))
+    leaders = pairs.select("a", F.explode(F.expr("sequence(0, lots - 1)")).alias("lot")).distinct().select(F.col("a").alias("sid"), route(0).alias("route"))
+    routes = members.union(leaders).groupBy("sid").agg(F.collect_list("route").alias("routes"))
+    routes = staged(classes.select("sid", F.col("rep").alias("id")).join(routes, "sid"), "routes")
+    wanted = F.broadcast(routes) if routes.count() <= BROADCAST_IDS else routes.hint("shuffle_hash")
 
     def sets(batches):
-        for batch in slices(batches):
-            found = list(_sets(batch.column(0).to_pylist(), width, seed))
-            yield pa.RecordBatch.from_arrays([pa.array([_signature(s)[0] for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["sid", "items"])
-
-    found = docs.join(wanted, "id", "left_semi").select("text").mapInArrow(sets, "sid long, items binary")
-    found = staged(found, "sets")
-    members = pairs.join(found.withColumnRenamed("sid", "b"), "b").select("a", "lot", F.lit(1).alias("kind"), "b", "items")
-    leaders = pairs.select("a", "lots").distinct().join(found.withColumnRenamed("sid", "a"), "a")
-    leaders = leaders.select("a", F.explode(F.expr("sequence(0, lots - 1)")).alias("lot"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("b"), "items")
-    lots = leaders.unionByName(members).repartition("a", "lot").sortWithinPartitions("a", "lot", "kind", "b")
+        for batch in slices(batches, 500):
+            out: list[list] = [[], [], [], [], []]
+            made = _sets(batch.column(0).to_pylist(), width, seed)
+            for s, sid, ways in zip(made, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if _signature(s)[0] == sid:
+                    raw = s.tobytes()
+                    for w in ways:
+                        for col, x in zip(out, (w["a"], w["lot"], w["kind"], sid, raw), strict=True):
+                            col.append(x)
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["a", "lot", "kind", "b", "items"])
+
+    # every set goes straight from its text to the lots it is compared in: one shuffle
+    sent = docs.join(wanted, "id").select("text", "sid", "routes").mapInArrow(sets, "a long, lot int, kind int, b long, items binary")
+    lots = sent.repartition("a", "lot").sortWithinPartitions("a", "lot", "kind", "b")
 
     def check(batches):
         of, leader = None, None
