@@ -1,38 +1,55 @@
 """Quality classifier: interpolated modified Kneser-Ney language models of trusted text.
 
 Models are over characters (order ``ORDER``), one a language, counted on all
-trusted documents of the table: those labelled of good quality and not toxic.
-Map tasks count their own n-grams; counts meet by (language, n-gram) in hash
-shards, where a count cut-off holds the model under ``MAX_GRAMS`` n-grams.  Each
-document's n-grams are then joined with the shards, which gives its perplexity per
-character, and a document is kept when that lies between two quantiles of the
-perplexities of trusted documents of its language that the model was not trained on
-(every ``HELD_OUT``-th by hash), widened by a margin.
+trusted documents of the table: those labelled of good quality and not toxic,
+without every ``HELD_OUT``-th by hash.  No count is cut off or sampled.
+
+1. Map tasks count their own n-grams; counts meet by n-gram.  Lower orders count
+   distinct signs to the left.  Only counts of counts and the two lowest orders, which
+   the alphabet bounds, come to the driver.
+2. Documents are read in blocks of ``BLOCK`` rows of a file.  Each block gives its
+   distinct n-grams; their union meets the counts in shards dealt by language and the
+   two signs before the last but one, so a shard holds all of an n-gram's orders
+   from 3 up and yields its probability; these are joined back to the blocks.
+3. A second read of each block adds up its documents' bits, hence no text is shuffled.
+
+A document is kept when its perplexity a character lies between two quantiles of the
+perplexities of the held-out trusted documents of its language, widened by a margin.
 
 Defined results: null and empty texts have no perplexity and are rejected; a null
 language, or one with fewer than ``min_trusted`` trusted documents, takes the model
 and the quantiles of all languages together; without any trusted document every
 text is kept with a null perplexity; repeated rows are scored row by row; a repeated
-label counts once; an empty table gives an empty table; extra columns are not carried.
+label counts once; an empty table gives an empty table; extra columns are not carried
+by ``classify`` and are kept by ``keep_good``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm._shared import slices, staged, text_chunks
+from corvane.llm._shared import shared_path, slices, staged, text_chunks
+from corvane.llm.token_files import _file_system
 
 ORDER = 5
 #: Characters of a model: the commonest ones; all others are one unknown sign.
 ALPHABET = 250
-#: Bound of a language's n-grams of the highest order; rarer ones are cut off beyond it.
-MAX_GRAMS = 1_000_000
-SHARDS = 16
+#: Languages with a model of their own: the commonest ones; all others share the pooled one.
+LANGUAGES = 500
+#: Rows of a file that are looked up together.
+BLOCK = 16_384
+#: Rows of counts and n-grams that a shard takes, about.
+SHARD_ROWS = 1_000_000
+HELD_OUT = 5
 POOLED = "*"
 _START, _UNKNOWN = 251, 252
+#: A key is the language's number above the five signs of an n-gram.
+_SIGNS = (1 << 40) - 1
 
 
 def _codes(text: str, table: np.ndarray) -> np.ndarray:
@@ -53,31 +70,37 @@ def symbol_table(alphabet: list[int]) -> np.ndarray:
     return table
 
 
+def _cuts(many: list[int]) -> np.ndarray:
+    """Discounts of counts 1, 2 and 3 or more, from the numbers of n-grams counted 1 to 4 times."""
+    y = many[0] / (many[0] + 2 * many[1]) if many[0] else 0.0
+    cut = np.zeros(4)
+    for r in (1, 2, 3):
+        if many[r - 1]:
+            cut[r] = min(max(r - (r + 1) * y * many[r] / many[r - 1], 0.0), r - 0.01)
+        else:
+            cut[r] = cut[r - 1]
+    return cut
+
+
 class KneserNey:
-    """Interpolated modified Kneser-Ney over sorted codes of the highest order."""
+    """Interpolated modified Kneser-Ney over codes of the highest order.
+
+    ``cuts`` and ``base`` (the lowest levels) are given where the codes are one shard
+    of a model; otherwise both come from the codes.
+    """
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, cuts: dict[int, np.ndarray] | None = None, base: list | None = None):
         order = np.argsort(codes)
-        code, count = codes[order], counts[order].astype(np.int64)
-        self.levels = []  # from order 1 to ORDER: codes, log-free parts of the probability
-        grams = [(code, count)]
-        for n in range(ORDER - 1, 0, -1):  # continuation counts: distinct signs to the left
-            short = grams[-1][0] & np.uint64((1 << (8 * n)) - 1)
-            grams.append(np.unique(short, return_counts=True))
-        for n, (c, k) in zip(range(1, ORDER + 1), reversed(grams), strict=True):
-            self.levels.append(self._level(n, c, k))
+        grams = [(codes[order], counts[order].astype(np.int64))]
+        self.levels = list(base or [])
+        for n in range(ORDER - 1, len(self.levels), -1):  # continuation counts: distinct signs to the left
+            grams.append(np.unique(grams[-1][0] & np.uint64((1 << (8 * n)) - 1), return_counts=True))
+        for n, (c, k) in enumerate(reversed(grams), len(self.levels) + 1):
+            self.levels.append(self.level(c, k, cuts[n] if cuts else _cuts([int(np.count_nonzero(k == r)) for r in (1, 2, 3, 4)])))
         self.floor = 1.0 / (ALPHABET + 2)
 
     @staticmethod
-    def _level(n: int, code: np.ndarray, count: np.ndarray) -> dict:
-        many = [int(np.count_nonzero(count == r)) for r in (1, 2, 3, 4)]
-        y = many[0] / (many[0] + 2 * many[1]) if many[0] else 0.0
-        cut = np.zeros(4)
-        for r in (1, 2, 3):
-            if many[r - 1]:
-                cut[r] = min(max(r - (r + 1) * y * many[r] / many[r - 1], 0.0), r - 0.01)
-            else:
-                cut[r] = cut[r - 1]
+    def level(code: np.ndarray, count: np.ndarray, cut: np.ndarray) -> dict:
         lost = cut[np.minimum(count, 3)]
         context, first = np.unique(code >> np.uint64(8), return_index=True)
         total = np.add.reduceat(count, first) if len(code) else np.zeros(0)
@@ -99,112 +122,51 @@ class KneserNey:
             p = self._at(level["code"], level["own"], code, 0.0) + self._at(level["context"], level["back"], code >> np.uint64(8), 1.0) * p
         return p
 
-    def tabulated(self) -> tuple[np.ndarray, np.ndarray]:
-        """-log2 p of every n-gram the model has seen, by sorted code."""
-        code = self.levels[-1]["code"]
-        return code, -np.log2(self.probability(code))
 
+@dataclass
+class QualityModel:
+    """Counts in a table of the shared folder; the rest is bounded by alphabet and languages."""
 
-class Scorer:
-    """Joins a text's n-grams with the shards of the model, in turn."""
+    alphabet: list[int]
+    languages: dict[str, int]
+    grams: DataFrame | None = None
+    cuts: dict[int, dict[int, np.ndarray]] = field(default_factory=dict)
+    base: dict[int, list] = field(default_factory=dict)
+    limits: dict[str, tuple[float, float]] = field(default_factory=dict)
+    #: The frame that the model was fitted on, its blocks' table and its scores.
+    fitted: tuple | None = None
 
-    def __init__(self, alphabet: list[int], codes: np.ndarray, counts: np.ndarray):
-        self.table = symbol_table(alphabet)
-        self.model = KneserNey(codes, counts)
-        code, bits = self.model.tabulated()
-        shard = self.shard(code)
-        self.shards = [(code[shard == s], bits[shard == s]) for s in range(SHARDS)]
 
-    @staticmethod
-    def shard(code: np.ndarray) -> np.ndarray:
-        return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60)).astype(np.int64) % SHARDS
-
-    def bits(self, codes: np.ndarray) -> np.ndarray:
-        out = np.empty(len(codes))
-        shard = self.shard(codes)
-        for s, (known, bits) in enumerate(self.shards):
-            at = np.flatnonzero(shard == s)
-            wanted = codes[at]
-            if len(known):
-                k = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-                hit = known[k] == wanted
-                out[at] = np.where(hit, bits[k], 0.0)
-                at, wanted = at[~hit], wanted[~hit]
-            out[at] = -np.log2(self.model.probability(wanted))
-        return out
-
-    def perplexities(self, texts: list[str]) -> list[float]:
-        codes = [_codes(t, self.table) for t in texts]
-        each, back = np.unique(np.concatenate(codes), return_inverse=True) if codes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        bits = self.bits(each)[back]
-        sums = np.concatenate([[0.0], np.cumsum(bits)])
-        ends = np.cumsum([len(c) for c in codes])
-        return [2.0 ** ((sums[e] - sums[e - len(c)]) / len(c)) for e, c in zip(ends.tolist(), codes, strict=True)]
-
-
-#: At most about so many trusted labels are used to fit the models (8 bytes each are
-#: broadcast); quantiles use every trusted document that is held out.
-MAX_TRUSTED = 1_000_000
-HELD_OUT = 5
-#: Bound of all models together; the n-grams of the lowest counts are cut off beyond it.
-MAX_MODEL = 4_000_000
+def _language(languages: dict[str, int], lang: str | None) -> str:
+    return lang if lang in languages else POOLED
 
 
-class QualityModel:
-    """Alphabet, n-gram counts and limits by language; small enough to broadcast."""
-
-    def __init__(self, alphabet: list[int], grams: dict[str, tuple[np.ndarray, np.ndarray]], limits: dict[str, tuple[float, float]] | None = None):
-        self.alphabet, self.grams, self.limits = alphabet, grams, limits or {}
-        self._scorers: dict[str, Scorer] = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"_scorers": {}}
-
-    def language(self, lang: str | None) -> str:
-        return lang if lang in self.grams else POOLED
-
-    def _scorer(self, lang: str) -> Scorer:
-        if lang not in self._scorers:
-            self._scorers[lang] = Scorer(self.alphabet, *self.grams[lang])
-        return self._scorers[lang]
-
-    def score(self, langs: list, texts: list) -> list[float | None]:
-        out: list[float | None] = [None] * len(texts)
-        if not self.grams:
-            return out
-        for lo, hi in text_chunks(texts):
-            by: dict[str, list[int]] = {}
-            for i in range(lo, hi):
-                if texts[i]:
-                    by.setdefault(self.language(langs[i]), []).append(i)
-            for lang, at in by.items():
-                for i, p in zip(at, self._scorer(lang).perplexities([texts[i] for i in at]), strict=True):
-                    out[i] = p
-        return out
-
-    def kept(self, lang: str | None, text: str | None, perplexity: float | None) -> bool:
-        if not text:
-            return False
-        low, high = self.limits.get(self.language(lang), (0.0, float("inf")))
-        return perplexity is None or low <= perplexity <= high
+def kept(limits: dict[str, tuple[float, float]], model: str, text: str | None, perplexity: float | None) -> bool:
+    if not text:
+        return False
+    low, high = limits.get(model, (0.0, float("inf")))
+    return perplexity is None or low <= perplexity <= high
 
 
 def _trusted(labels: DataFrame, id_col: str) -> DataFrame:
     return labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantiles: tuple[float, float] = (0.005, 0.995), margin: float = 2.0, min_trusted: int = 20) -> QualityModel:
-    """Count the trusted text, build the models, and take the limits from the
-    perplexities of the trusted documents held out."""
-    spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    trusted = staged(_trusted(labels, id_col), "trusted")
-    n = trusted.count()
-    fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(HELD_OUT))
-    chosen = trusted.where(fold > 0).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, MAX_TRUSTED / max(n, 1))))
-    texts = docs.join(F.broadcast(chosen), "id", "left_semi").where("text <> ''")
+def _fold(old: tuple[np.ndarray, np.ndarray], new: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Add occurrences to sorted codes and counts."""
+    code, back = np.unique(np.concatenate([old[0], *new]), return_inverse=True)
+    weight = np.concatenate([old[1], np.ones(len(back) - len(old[1]), np.int64)])
+    return code, np.bincount(back, weights=weight, minlength=len(code)).astype(np.int64)
+
+
+def _keyed(texts: list, langs: list, table: np.ndarray, languages: dict[str, int]) -> np.ndarray:
+    """Keys of all n-grams of the texts, one text after another."""
+    parts = [_codes(t, table) | np.uint64(languages.get(lang, 0) << 40) for t, lang in zip(texts, langs, strict=True)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
-    def count_signs(batches):
+
+def _count_signs(texts: DataFrame) -> DataFrame:
+    def run(batches):
         total: dict[str, np.ndarray] = {}
         for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -215,106 +177,276 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
             at = np.flatnonzero(k)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(k[at])], ["lang", "sign", "n"])
 
-    signs = staged(texts.select("lang", "text").mapInArrow(count_signs, "lang string, sign int, n long").groupBy("lang", "sign").agg(F.sum("n").alias("n")), "signs")
-    per_lang = {r["lang"]: r["n"] for r in signs.where(F.col("sign") == 0x110000).orderBy(F.desc("n"), "lang").limit(500).collect()}
+    return texts.select("lang", "text").mapInArrow(run, "lang string, sign int, n long").groupBy("lang", "sign").agg(F.sum("n").alias("n"))
+
+
+def _count_grams(texts: DataFrame, alphabet: list[int], languages: dict[str, int]) -> DataFrame:
+    def run(batches):
+        table = symbol_table(alphabet)
+        sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        new, size = [], 0
+        for batch in slices(batches):
+            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lo, hi in text_chunks(texts):
+                new.append(_keyed(texts[lo:hi], langs[lo:hi], table, languages))
+                size += len(new[-1])
+                if size > 1 << 21:
+                    sums, new, size = _fold(sums, new), [], 0
+        code, k = _fold(sums, new)
+        for lo in range(0, len(code), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(code[lo : lo + 50_000].view(np.int64)), pa.array(k[lo : lo + 50_000])], ["key", "n"])
+
+    return texts.select("lang", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _build(texts: DataFrame, min_trusted: int) -> QualityModel:
+    signs = staged(_count_signs(texts), "signs")
     top = signs.where(F.col("sign") < 0x110000).groupBy("sign").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sign").limit(ALPHABET).collect()
     if not top:
         return QualityModel([], {})
-    alphabet = [r["sign"] for r in top]
-    own = {lang for lang, k in per_lang.items() if k >= min_trusted and lang != POOLED}
+    own = signs.where((F.col("sign") == 0x110000) & (F.col("n") >= min_trusted) & (F.col("lang") != POOLED)).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    model = QualityModel([r["sign"] for r in top], {r["lang"]: k for k, r in enumerate(own, 1)})
+
+    counts = staged(_count_grams(texts, model.alphabet, model.languages), "grams")
+    pooled = counts.groupBy(F.col("key").bitwiseAND(F.lit(_SIGNS)).alias("key")).agg(F.sum("n").alias("n"))
+    model.grams = staged(counts.where(F.col("key") > _SIGNS).unionByName(pooled), "all_grams")
+    levels = {ORDER: model.grams}
+    for n in range(ORDER - 1, 0, -1):
+        short = F.col("key").bitwiseAND(F.lit(~_SIGNS | ((1 << (8 * n)) - 1)))
+        levels[n] = staged(levels[n + 1].groupBy(short.alias("key")).agg(F.count("*").alias("n")), f"level{n}")
+    many: dict[int, dict[int, list[int]]] = {}
+    for n, level in levels.items():
+        for r in level.where("n <= 4").groupBy(F.shiftright("key", 40).alias("lang"), "n").agg(F.count("*").alias("k")).collect():
+            many.setdefault(r["lang"], {j: [0] * 4 for j in levels})[n][r["n"] - 1] = r["k"]
+    for number in (0, *model.languages.values()):
+        model.cuts[number] = {n: _cuts(k) for n, k in many.get(number, {j: [0] * 4 for j in levels}).items()}
+        model.base[number] = []
+    for n in (1, 2):  # at most 253 ** n rows a language
+        low = levels[n].toArrow()
+        key, k = low.column("key").to_numpy().view(np.uint64), low.column("n").to_numpy()
+        order = np.argsort(key)
+        key, k = key[order], k[order]
+        for number, cuts in model.cuts.items():
+            at = key >> np.uint64(40) == number
+            model.base[number].append(KneserNey.level(key[at] & np.uint64(_SIGNS), k[at], cuts[n]))
+    return model
+
+
+def _blocks(df: DataFrame) -> DataFrame:
+    """``df`` with a ``__block`` that a row keeps however the table is read.
+
+    Frames other than filtered or projected scans of Parquet files are written first.
+    """
+
+    def located(frame):
+        return frame.select("*", F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK)).alias("__block"))
+
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if node.nodeName() == "LogicalRelation" or node.nodeName().startswith("Relation"):
+        if "parquet" in node.toString().lower() and "_metadata" not in df.columns:
+            return located(df)
+    return located(staged(df, "documents"))
+
+
+def _distinct_grams(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """(block, key): the n-grams of each block, once a map task."""
+    alphabet, languages = model.alphabet, model.languages
 
-    def count_grams(batches):
+    def run(batches):
         table = symbol_table(alphabet)
-        held: dict[str, list] = {}
-        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        block, known, new, size = None, np.zeros(0, np.uint64), [], 0
 
-        def fold(lang):
-            old = sums.get(lang, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-            code, back = np.unique(np.concatenate([old[0], *held[lang]]), return_inverse=True)
-            weight = np.concatenate([old[1], np.ones(len(back) - len(old[1]), np.int64)])
-            sums[lang] = code, np.bincount(back, weights=weight, minlength=len(code)).astype(np.int64)
-            held[lang] = []
+        def given():
+            keys = np.unique(np.concatenate([known, *new]))
+            for lo in range(0, len(keys), 50_000):
+                part = keys[lo : lo + 50_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part)], ["block", "key"])
 
         for batch in slices(batches):
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                key = lang if lang in own else POOLED
-                held.setdefault(key, []).append(_codes(text, table))
-                if sum(map(len, held[key][-64:])) > 1 << 20 or len(held[key]) > 2000:
-                    fold(key)
-        for lang in held:
-            fold(lang)
-        for lang, (code, k) in sums.items():
-            for lo in range(0, len(code), 50_000):
-                part = slice(lo, lo + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code[part])), pa.array(code[part].view(np.int64)), pa.array(k[part])], ["lang", "code", "n"])
-
-    counts = staged(texts.select("lang", "text").mapInArrow(count_grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "grams")
-    pooled = counts.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "code", "n")
-    everything = staged(counts.where(F.col("lang") != POOLED).unionByName(pooled), "all_grams")
-    steps = everything.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()
-    cutoff, held = 1, 0
-    for r in steps:
-        held += r["k"]
-        if held > MAX_MODEL:
-            cutoff = r["n"] + 1
-            break
-    table = everything.where(F.col("n") >= cutoff).toArrow()
-    langs = table.column("lang").to_pandas().to_numpy()
-    code, k = table.column("code").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    grams = {str(lang): (code[langs == lang], k[langs == lang]) for lang in np.unique(langs)}
-    model = QualityModel(alphabet, grams)
-
-    shared = spark.sparkContext.broadcast(model)
-    scores = staged(_scored(docs, shared).where("perplexity is not null"), "scores")
-    known = scores.join(trusted.where(fold == 0), "id", "left_semi")
-    cuts = [F.percentile_approx("perplexity", q, 10_000) for q in quantiles]
-    rows = known.groupBy("model").agg(cuts[0].alias("low"), cuts[1].alias("high")).collect()
-    whole = known.agg(cuts[0].alias("low"), cuts[1].alias("high")).first()
-    limits = {r["model"]: (r["low"] / margin, r["high"] * margin) for r in rows}
-    if whole["low"] is not None:
-        pooled_limits = (whole["low"] / margin, whole["high"] * margin)
-        limits = {lang: limits.get(lang, pooled_limits) for lang in (*grams, POOLED)}
-    return QualityModel(alphabet, grams, limits)
+            langs, texts, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            for lo, hi in _runs(ids):
+                if ids[lo] != block:
+                    if block is not None:
+                        yield from given()
+                    block, known, new, size = ids[lo], known[:0], [], 0
+                for a, b in text_chunks(texts[lo:hi]):
+                    new.append(np.unique(_keyed(texts[lo + a : lo + b], langs[lo + a : lo + b], table, languages)))
+                    size += len(new[-1])
+                    if size > 1 << 21:
+                        known, new, size = np.unique(np.concatenate([known, *new])), [], 0
+        if block is not None:
+            yield from given()
+
+    return docs.where("text <> ''").select("lang", "text", "__block").mapInArrow(run, "block long, key long")
+
+
+def _runs(ids: np.ndarray):
+    """Bounds of runs of equal values."""
+    ends = [*(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)] if len(ids) else []
+    return zip([0, *ends[:-1]], ends, strict=True) if ends else ()
+
+
+def _looked_up(wanted: DataFrame, model: QualityModel, spark: SparkSession) -> DataFrame:
+    """(key, bits) of every wanted key, from the shards of the counts."""
+    both = model.grams.unionByName(wanted.select("key", F.lit(0).cast("long").alias("n")))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), both.count() // SHARD_ROWS + 1)
+    small = spark.sparkContext.broadcast((model.cuts, model.base))
 
+    def run(batches):
+        cuts, base = small.value
+        parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]
+        if not parts:
+            return
+        key, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+        lang = key >> np.uint64(40)
+        for number in np.unique(lang[count == 0]).tolist():
+            own = (lang == number) & (count > 0)
+            shard = KneserNey(key[own] & np.uint64(_SIGNS), count[own], cuts[number], base[number])
+            asked = key[(lang == number) & (count == 0)]
+            for lo in range(0, len(asked), 50_000):
+                part = asked[lo : lo + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(-np.log2(shard.probability(part & np.uint64(_SIGNS))))], ["key", "bits"])
+
+    return both.repartition(n, F.shiftright("key", 40), F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))).mapInArrow(run, "key long, bits double")
+
+
+def _block_tables(docs: DataFrame, model: QualityModel) -> str:
+    """Write the bits of each block's n-grams below a folder of the shared one."""
+    spark = docs.sparkSession
+    asked = staged(_distinct_grams(docs, model), "asked")
+    found = staged(_looked_up(staged(asked.select("key").distinct(), "wanted"), model, spark), "found")
+    path = shared_path(spark, "bits")
+    joined = asked.join(found, "key").select("block", "key", "bits")
+    joined.repartition("block", F.pmod(F.xxhash64("key"), F.lit(32))).write.partitionBy("block").parquet(path)
+    return path
+
+
+class _Bits:
+    """The bits of one block's n-grams at a time."""
+
+    def __init__(self, folder: str):
+        self.fs, self.root = _file_system(folder)
+        self.block = None
+
+    def load(self, block: int) -> None:
+        import pyarrow.dataset as ds
+
+        if block != self.block:
+            found = ds.dataset(f"{self.root}/block={block}", filesystem=self.fs, format="parquet").to_table(columns=["key", "bits"], use_threads=False)
+            key, bits = found.column("key").to_numpy(), found.column("bits").to_numpy()
+            key, first = np.unique(key, return_index=True)
+            self.key, self.bits, self.block = key.view(np.int64), bits[first], block
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        keys = keys.view(np.int64)
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        if not np.array_equal(self.key[at], keys):
+            raise RuntimeError("an n-gram is missing: the documents changed between two reads")
+        return self.bits[at]
+
+
+def _perplexities(langs: list, texts: list, blocks: np.ndarray, table: np.ndarray, languages: dict[str, int], bits: _Bits) -> list[float | None]:
+    out: list[float | None] = [None] * len(texts)
+    for start, end in _runs(blocks):
+        some = [i for i in range(start, end) if texts[i]]
+        if not some:
+            continue
+        bits.load(int(blocks[start]))
+        for lo, hi in text_chunks([texts[i] for i in some]):
+            at = some[lo:hi]
+            each = bits.of(_keyed([texts[i] for i in at], [langs[i] for i in at], table, languages))
+            sums = np.concatenate([[0.0], np.cumsum(each)])
+            ends = np.cumsum([len(texts[i]) for i in at]).tolist()
+            for i, e in zip(at, ends, strict=True):
+                out[i] = 2.0 ** float((sums[e] - sums[e - len(texts[i])]) / len(texts[i]))
+    return out
+
+
+def _plain(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+
+
+def _scored(docs: DataFrame, model: QualityModel, folder: str) -> DataFrame:
+    """(id, lang, model, perplexity, empty) of every row of blocks."""
+    alphabet, languages = model.alphabet, model.languages
 
-def _scored(docs: DataFrame, shared) -> DataFrame:
     def run(batches):
-        model = shared.value
+        table, bits = symbol_table(alphabet), _Bits(folder)
         for batch in slices(batches):
-            langs = batch.column(1).to_pylist()
-            ppl = model.score(langs, batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.language(x) for x in langs], pa.string()), pa.array(ppl, pa.float64())], ["id", "model", "perplexity"])
+            langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            ppl = _perplexities(langs, texts, batch.column(3).to_numpy(), table, languages, bits)
+            names = [_language(languages, x) for x in langs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(ppl, pa.float64()), pa.array([not t for t in texts], pa.bool_())], ["id", "lang", "model", "perplexity", "empty"])
 
-    return docs.select("id", "lang", "text").mapInArrow(run, "id long, model string, perplexity double")
+    return docs.select("id", "lang", "text", "__block").mapInArrow(run, "id long, lang string, model string, perplexity double, empty boolean")
 
 
-def classify(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, lang, perplexity, low, high, keep) of every document."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def _scores(df: DataFrame, model: QualityModel, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, str]:
+    docs = _blocks(_plain(df, id_col, text_col, lang_col))
+    folder = _block_tables(docs, model)
+    return staged(_scored(docs, model, folder), "scores"), folder
 
-    def run(batches):
-        model = shared.value
-        for batch in slices(batches):
-            langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            ppl = model.score(langs, texts)
-            limits = [model.limits.get(model.language(x), (None, None)) for x in langs]
-            keep = [model.kept(*x) for x in zip(langs, texts, ppl, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ppl, pa.float64()), pa.array([x[0] for x in limits], pa.float64()), pa.array([x[1] for x in limits], pa.float64()), pa.array(keep)], [id_col, lang_col, "perplexity", "low", "high", "keep"])
 
-    return docs.mapInArrow(run, f"`{id_col}` long, `{lang_col}` string, perplexity double, low double, high double, keep boolean")
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantiles: tuple[float, float] = (0.005, 0.995), margin: float = 2.0, min_trusted: int = 20) -> QualityModel:
+    """Count the trusted text, score all documents, and take the limits from the
+    perplexities of the trusted documents held out."""
+    trusted = staged(_trusted(labels, id_col), "trusted")
+    fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(HELD_OUT))
+    # Catalyst broadcasts the ids where the table's size allows it
+    texts = _plain(df, id_col, text_col, lang_col).where("text <> ''").join(trusted.where(fold > 0), "id", "left_semi")
+    model = _build(texts, min_trusted)
+    if not model.alphabet:
+        return model
+    scores, folder = _scores(df, model, id_col, text_col, lang_col)
+    model.fitted = df, scores, folder
+    known = scores.where("perplexity is not null").join(trusted.where(fold == 0), "id", "left_semi")
+    cuts = [F.percentile_approx("perplexity", q, 10_000) for q in quantiles]
+    rows = known.groupBy("model").agg(cuts[0].alias("low"), cuts[1].alias("high")).collect()
+    whole = known.agg(cuts[0].alias("low"), cuts[1].alias("high")).first()
+    model.limits = {r["model"]: (r["low"] / margin, r["high"] * margin) for r in rows}
+    if whole["low"] is not None:
+        pooled = (whole["low"] / margin, whole["high"] * margin)
+        model.limits = {lang: model.limits.get(lang, pooled) for lang in (*model.languages, POOLED)}
+    return model
+
 
+def classify(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(id, lang, perplexity, low, high, keep) of every document."""
+    spark = df.sparkSession
+    if not model.alphabet:
+        none = F.lit(None).cast("double")
+        return _plain(df, id_col, text_col, lang_col).select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), none.alias("perplexity"), none.alias("low"), none.alias("high"), F.coalesce(F.col("text") != "", F.lit(False)).alias("keep"))
+    scores = model.fitted[1] if model.fitted and model.fitted[0] is df else _scores(df, model, id_col, text_col, lang_col)[0]
+    limits = spark.createDataFrame([(lang, *x) for lang, x in model.limits.items()], "model string, low double, high double")
+    out = scores.join(F.broadcast(limits), "model", "left")  # a row a language
+    inside = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
+    return out.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "perplexity", "low", "high", (~F.col("empty") & inside).alias("keep"))
 
-def keep_good(df: DataFrame, model: QualityModel, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+
+def keep_good(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``df`` that the classifier keeps, all columns as they are."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    if not model.alphabet:
+        return df.where(F.col(text_col) != "")
+    blocks = _blocks(df)
+    if model.fitted and model.fitted[0] is df:
+        folder = model.fitted[2]
+    else:
+        folder = _block_tables(_blocks_as(blocks, id_col, text_col, lang_col), model)
+    alphabet, languages, limits = model.alphabet, model.languages, model.limits
     text_at, lang_at = df.columns.index(text_col), df.columns.index(lang_col)
 
     def run(batches):
-        model = shared.value
+        table, bits = symbol_table(alphabet), _Bits(folder)
         for batch in slices(batches):
             langs, texts = batch.column(lang_at).to_pylist(), batch.column(text_at).to_pylist()
-            keep = [model.kept(*x) for x in zip(langs, texts, model.score(langs, texts), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            ppl = _perplexities(langs, texts, batch.column(batch.num_columns - 1).to_numpy(), table, languages, bits)
+            keep = [kept(limits, _language(languages, x), t, p) for x, t, p in zip(langs, texts, ppl, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(list(range(batch.num_columns - 1)))
+
+    return blocks.mapInArrow(run, df.schema)
+
 
-    return df.mapInArrow(run, df.schema)
+def _blocks_as(blocks: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    return blocks.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), "__block")

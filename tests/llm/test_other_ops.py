@@ -1,5 +1,6 @@
 import random
 
+import brute
 import numpy as np
 import pytest
 
@@ -114,6 +115,15 @@ def test_kneser_ney_sums_to_one():
         assert model.probability(every).sum() == pytest.approx(1 + 4 * model.floor * model.levels[0]["back"][0], abs=0.02)
 
 
+def test_sharded_perplexities_equal_plain_model(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "BLOCK", 37)
+    small = sf_dir.replace("sf0.01", "sf0.001")
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    found = {r["doc_id"]: r["perplexity"] for r in kneser_ney.classify(docs, kneser_ney.fit(docs, labels)).collect() if r["perplexity"] is not None}
+    rows = [(r["doc_id"], r["lang"], r["text"]) for r in docs.collect()]
+    assert found == pytest.approx(brute.perplexities(rows, brute.training_ids(labels), kneser_ney), rel=1e-6)
+
+
 def test_classifier_held_out(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").collect()
     kept = {r["doc_id"] for r in queries.op3_kneser_ney(spark, sf_dir).collect()}
