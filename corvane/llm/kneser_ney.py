@@ -8,9 +8,9 @@ without every ``HELD_OUT``-th by hash.  No count is cut off or sampled.
    distinct signs to the left.  Only counts of counts and the two lowest orders, which
    the alphabet bounds, come to the driver.
 2. Documents are read in blocks of ``BLOCK`` rows of a file.  Each block gives its
-   distinct n-grams; their union meets the counts in shards dealt by language and the
-   two signs before the last but one, so a shard holds all of an n-gram's orders
-   from 3 up and yields its probability; these are joined back to the blocks.
+   distinct n-grams, which meet the counts in shards dealt by language and the third
+   and second sign from the end, so a shard holds all of an n-gram's orders from 3 up
+   and yields its probability; these go back to the blocks.
 3. A second read of each block adds up its documents' bits, hence no text is shuffled.
 
 A document is kept when its perplexity a character lies between two quantiles of the
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm._shared import shared_path, slices, staged, text_chunks
+from corvane.llm._shared import delete_path, shared_path, slices, staged, text_chunks
 from corvane.llm.token_files import _file_system
 
 ORDER = 5
@@ -288,38 +288,72 @@ def _runs(ids: np.ndarray):
     return zip([0, *ends[:-1]], ends, strict=True) if ends else ()
 
 
-def _looked_up(wanted: DataFrame, model: QualityModel, spark: SparkSession) -> DataFrame:
-    """(key, bits) of every wanted key, from the shards of the counts."""
-    both = model.grams.unionByName(wanted.select("key", F.lit(0).cast("long").alias("n")))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), both.count() // SHARD_ROWS + 1)
+def _written(df: DataFrame, path: str, *by: str) -> None:
+    """Write sorted keys as differences."""
+    out = df.write.option("parquet.enable.dictionary", "false").option("parquet.writer.version", "v2")
+    (out.partitionBy(*by) if by else out).parquet(path)
+
+
+#: The shard of a key: its language and the third and second sign from the end.
+_CELL = "shiftright(key, 40) * 65536 + (shiftright(key, 8) & 65535)"
+
+
+def _looked_up(asked: DataFrame, model: QualityModel, spark: SparkSession) -> DataFrame:
+    """(block, key, bits) of every asked key, from the shards of the counts.
+
+    A shard meets the counts of its cells first, which the alphabet bounds, and then
+    answers what is asked batch by batch.  Cells that are asked for more than
+    ``SHARD_ROWS`` times are split, and their counts go to each part.
+    """
+    cell = F.expr(_CELL).alias("cell")
+    often = asked.groupBy(cell).agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS)
+    often = F.broadcast(staged(often.select("cell", F.ceil(F.col("n") / SHARD_ROWS).alias("parts")), "often"))  # at most 253 ** 2 rows a language
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    counts = model.grams.select("key", "n", cell).join(often, "cell", "left").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(None).cast("long").alias("block"), "key", "n")
+    wanted = asked.select("block", "key", cell).join(often, "cell", "left").select("cell", F.pmod(F.xxhash64("block", "key"), parts).alias("part"), "block", "key", F.lit(0).cast("long").alias("n"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (model.grams.count() + asked.count()) // SHARD_ROWS + 1)
     small = spark.sparkContext.broadcast((model.cuts, model.base))
 
     def run(batches):
         cuts, base = small.value
-        parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]
-        if not parts:
-            return
-        key, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-        lang = key >> np.uint64(40)
-        for number in np.unique(lang[count == 0]).tolist():
-            own = (lang == number) & (count > 0)
-            shard = KneserNey(key[own] & np.uint64(_SIGNS), count[own], cuts[number], base[number])
-            asked = key[(lang == number) & (count == 0)]
-            for lo in range(0, len(asked), 50_000):
-                part = asked[lo : lo + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(-np.log2(shard.probability(part & np.uint64(_SIGNS))))], ["key", "bits"])
-
-    return both.repartition(n, F.shiftright("key", 40), F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))).mapInArrow(run, "key long, bits double")
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        shards: dict[int, KneserNey] = {}
+
+        def shard(number):
+            if number not in shards:
+                key, count = (np.concatenate(x) for x in zip((np.zeros(0, np.uint64), np.zeros(0, np.int64)), *held, strict=True))
+                key, first = np.unique(key, return_index=True)  # parts of a cell can share a task
+                own = key >> np.uint64(40) == number
+                shards[number] = KneserNey(key[own] & np.uint64(_SIGNS), count[first][own], cuts[number], base[number])
+            return shards[number]
+
+        for batch in batches:
+            key, count = batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
+            known = int(np.count_nonzero(count))  # counts come first
+            if known:
+                held.append((key[:known].copy(), count[:known].copy()))
+            if known == len(key):
+                continue
+            asks = key[known:]
+            lang, bits = asks >> np.uint64(40), np.empty(len(asks), np.float32)
+            for number in np.unique(lang).tolist():
+                at = lang == number
+                bits[at] = -np.log2(shard(number).probability(asks[at] & np.uint64(_SIGNS)))
+            rest = batch.slice(known)
+            yield pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), pa.array(bits)], ["block", "key", "bits"])
+
+    dealt = counts.unionByName(wanted).repartition(n, "cell", "part").sortWithinPartitions(F.col("n") == 0)
+    return dealt.select("block", "key", "n").mapInArrow(run, "block long, key long, bits float")
 
 
 def _block_tables(docs: DataFrame, model: QualityModel) -> str:
     """Write the bits of each block's n-grams below a folder of the shared one."""
     spark = docs.sparkSession
-    asked = staged(_distinct_grams(docs, model), "asked")
-    found = staged(_looked_up(staged(asked.select("key").distinct(), "wanted"), model, spark), "found")
-    path = shared_path(spark, "bits")
-    joined = asked.join(found, "key").select("block", "key", "bits")
-    joined.repartition("block", F.pmod(F.xxhash64("key"), F.lit(32))).write.partitionBy("block").parquet(path)
+    asked, path = shared_path(spark, "asked"), shared_path(spark, "bits")
+    _written(_distinct_grams(docs, model), asked)
+    found = _looked_up(spark.read.schema("block long, key long").parquet(asked), model, spark)
+    _written(found.repartition("block", F.pmod(F.xxhash64("key"), F.lit(32))).sortWithinPartitions("block", "key"), path, "block")
+    delete_path(spark, asked)
     return path
 
 
@@ -357,7 +391,7 @@ def _perplexities(langs: list, texts: list, blocks: np.ndarray, table: np.ndarra
         for lo, hi in text_chunks([texts[i] for i in some]):
             at = some[lo:hi]
             each = bits.of(_keyed([texts[i] for i in at], [langs[i] for i in at], table, languages))
-            sums = np.concatenate([[0.0], np.cumsum(each)])
+            sums = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
             ends = np.cumsum([len(texts[i]) for i in at]).tolist()
             for i, e in zip(at, ends, strict=True):
                 out[i] = 2.0 ** float((sums[e] - sums[e - len(texts[i])]) / len(texts[i]))
