@@ -152,6 +152,45 @@ def _trusted(labels: DataFrame, id_col: str) -> DataFrame:
     return labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
 
 
+def _trusted_folder(docs: DataFrame, trusted: DataFrame) -> str:
+    """Write each block's trusted ids below a folder of the shared one: ids meet, no text moves."""
+    path = shared_path(docs.sparkSession, "trusted_blocks")
+    found = docs.select("id", F.col("__block").alias("block")).join(trusted, "id", "left_semi").select("block", "id").distinct()
+    found.repartition("block", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("block").parquet(path)
+    return path
+
+
+def _read_block(fs, root: str, block: int, columns: list[str]):
+    """A block's table, or None where it has none."""
+    import pyarrow.dataset as ds
+
+    path = f"{root}/block={block}"
+    if fs.get_file_info(path).type.name == "NotFound":
+        return None
+    return ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=columns, use_threads=False)
+
+
+class _Trusted:
+    """Picks the trusted texts of batches of (id, lang, text, block)."""
+
+    def __init__(self, folder: str):
+        self.fs, self.root = _file_system(folder)
+        self.block, self.ids = None, np.zeros(0, np.int64)
+
+    def texts(self, batch: pa.RecordBatch) -> tuple[list, list]:
+        ids, blocks = batch.column(0), batch.column(3).to_numpy()
+        valid = ids.is_valid().to_numpy(zero_copy_only=False)
+        value = ids.fill_null(0).to_numpy()
+        mark = np.zeros(batch.num_rows, bool)
+        for lo, hi in _runs(blocks):
+            if self.block != blocks[lo]:
+                found = _read_block(self.fs, self.root, int(blocks[lo]), ["id"])
+                self.block, self.ids = blocks[lo], found.column("id").to_numpy() if found else np.zeros(0, np.int64)
+            mark[lo:hi] = np.isin(value[lo:hi], self.ids) & valid[lo:hi]
+        some = batch.filter(pa.array(mark))
+        return some.column(1).to_pylist(), some.column(2).to_pylist()
+
+
 def _fold(old: tuple[np.ndarray, np.ndarray], new: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Add occurrences to sorted codes and counts."""
     code, back = np.unique(np.concatenate([old[0], *new]), return_inverse=True)
@@ -165,11 +204,12 @@ def _keyed(texts: list, langs: list, table: np.ndarray, languages: dict[str, int
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def _count_signs(texts: DataFrame) -> DataFrame:
+def _count_signs(docs: DataFrame, folder: str) -> DataFrame:
     def run(batches):
+        trusted = _Trusted(folder)
         total: dict[str, np.ndarray] = {}
         for batch in slices(batches):
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for lang, text in zip(*trusted.texts(batch), strict=True):
                 at, k = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_counts=True)
                 total.setdefault(lang or POOLED, np.zeros(0x110000 + 1, np.int64))[at] += k
                 total[lang or POOLED][0x110000] += 1
@@ -177,16 +217,17 @@ def _count_signs(texts: DataFrame) -> DataFrame:
             at = np.flatnonzero(k)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(k[at])], ["lang", "sign", "n"])
 
-    return texts.select("lang", "text").mapInArrow(run, "lang string, sign int, n long").groupBy("lang", "sign").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "lang string, sign int, n long").groupBy("lang", "sign").agg(F.sum("n").alias("n"))
 
 
-def _count_grams(texts: DataFrame, alphabet: list[int], languages: dict[str, int]) -> DataFrame:
+def _count_grams(docs: DataFrame, folder: str, alphabet: list[int], languages: dict[str, int]) -> DataFrame:
     def run(batches):
+        trusted = _Trusted(folder)
         table = symbol_table(alphabet)
         sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         new, size = [], 0
         for batch in slices(batches):
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            langs, texts = trusted.texts(batch)
             for lo, hi in text_chunks(texts):
                 new.append(_keyed(texts[lo:hi], langs[lo:hi], table, languages))
                 size += len(new[-1])
@@ -196,18 +237,20 @@ def _count_grams(texts: DataFrame, alphabet: list[int], languages: dict[str, int
         for lo in range(0, len(code), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(code[lo : lo + 50_000].view(np.int64)), pa.array(k[lo : lo + 50_000])], ["key", "n"])
 
-    return texts.select("lang", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _build(texts: DataFrame, min_trusted: int) -> QualityModel:
-    signs = staged(_count_signs(texts), "signs")
+def _build(docs: DataFrame, trusted: DataFrame, min_trusted: int) -> QualityModel:
+    folder = _trusted_folder(docs, trusted)
+    docs = docs.where("text <> ''").select("id", "lang", "text", "__block")
+    signs = staged(_count_signs(docs, folder), "signs")
     top = signs.where(F.col("sign") < 0x110000).groupBy("sign").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sign").limit(ALPHABET).collect()
     if not top:
         return QualityModel([], {})
     own = signs.where((F.col("sign") == 0x110000) & (F.col("n") >= min_trusted) & (F.col("lang") != POOLED)).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     model = QualityModel([r["sign"] for r in top], {r["lang"]: k for k, r in enumerate(own, 1)})
 
-    counts = staged(_count_grams(texts, model.alphabet, model.languages), "grams")
+    counts = staged(_count_grams(docs, folder, model.alphabet, model.languages), "grams")
     pooled = counts.groupBy(F.col("key").bitwiseAND(F.lit(_SIGNS)).alias("key")).agg(F.sum("n").alias("n"))
     model.grams = staged(counts.where(F.col("key") > _SIGNS).unionByName(pooled), "all_grams")
     levels = {ORDER: model.grams}
@@ -232,22 +275,19 @@ def _build(texts: DataFrame, min_trusted: int) -> QualityModel:
     return model
 
 
-def _blocks(df: DataFrame) -> DataFrame:
-    """``df`` with a ``__block`` that a row keeps however the table is read.
-
-    Frames other than filtered or projected scans of Parquet files are written first.
-    """
-
-    def located(frame):
-        return frame.select("*", F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK)).alias("__block"))
-
+def _is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is a scan of Parquet files, filtered or projected at most."""
     node = df._jdf.queryExecution().analyzed()
     while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         node = node.children().head()
-    if node.nodeName() == "LogicalRelation" or node.nodeName().startswith("Relation"):
-        if "parquet" in node.toString().lower() and "_metadata" not in df.columns:
-            return located(df)
-    return located(staged(df, "documents"))
+    return node.nodeName().startswith(("LogicalRelation", "Relation")) and "parquet" in node.toString().lower() and "_metadata" not in df.columns
+
+
+def _blocks(df: DataFrame) -> DataFrame:
+    """``df`` with a ``__block`` that a row keeps however the table is read; what is
+    not a scan of Parquet files is written first."""
+    found = df if _is_scan(df) else staged(df, "documents")
+    return found.select("*", F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK)).alias("__block"))
 
 
 def _distinct_grams(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -365,10 +405,10 @@ class _Bits:
         self.block = None
 
     def load(self, block: int) -> None:
-        import pyarrow.dataset as ds
-
         if block != self.block:
-            found = ds.dataset(f"{self.root}/block={block}", filesystem=self.fs, format="parquet").to_table(columns=["key", "bits"], use_threads=False)
+            found = _read_block(self.fs, self.root, block, ["key", "bits"])
+            if found is None:
+                raise RuntimeError("a block is missing: the documents changed between two reads")
             key, bits = found.column("key").to_numpy(), found.column("bits").to_numpy()
             key, first = np.unique(key, return_index=True)
             self.key, self.bits, self.block = key.view(np.int64), bits[first], block
@@ -417,8 +457,7 @@ def _scored(docs: DataFrame, model: QualityModel, folder: str) -> DataFrame:
     return docs.select("id", "lang", "text", "__block").mapInArrow(run, "id long, lang string, model string, perplexity double, empty boolean")
 
 
-def _scores(df: DataFrame, model: QualityModel, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, str]:
-    docs = _blocks(_plain(df, id_col, text_col, lang_col))
+def _scores(docs: DataFrame, model: QualityModel) -> tuple[DataFrame, str]:
     folder = _block_tables(docs, model)
     return staged(_scored(docs, model, folder), "scores"), folder
 
@@ -428,12 +467,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     perplexities of the trusted documents held out."""
     trusted = staged(_trusted(labels, id_col), "trusted")
     fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(HELD_OUT))
-    # Catalyst broadcasts the ids where the table's size allows it
-    texts = _plain(df, id_col, text_col, lang_col).where("text <> ''").join(trusted.where(fold > 0), "id", "left_semi")
-    model = _build(texts, min_trusted)
+    docs = _blocks(_plain(df, id_col, text_col, lang_col))
+    model = _build(docs, trusted.where(fold > 0), min_trusted)
     if not model.alphabet:
         return model
-    scores, folder = _scores(df, model, id_col, text_col, lang_col)
+    scores, folder = _scores(docs, model)
     model.fitted = df, scores, folder
     known = scores.where("perplexity is not null").join(trusted.where(fold == 0), "id", "left_semi")
     cuts = [F.percentile_approx("perplexity", q, 10_000) for q in quantiles]
@@ -452,7 +490,7 @@ def classify(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_co
     if not model.alphabet:
         none = F.lit(None).cast("double")
         return _plain(df, id_col, text_col, lang_col).select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), none.alias("perplexity"), none.alias("low"), none.alias("high"), F.coalesce(F.col("text") != "", F.lit(False)).alias("keep"))
-    scores = model.fitted[1] if model.fitted and model.fitted[0] is df else _scores(df, model, id_col, text_col, lang_col)[0]
+    scores = model.fitted[1] if model.fitted and model.fitted[0] is df else _scores(_blocks(_plain(df, id_col, text_col, lang_col)), model)[0]
     limits = spark.createDataFrame([(lang, *x) for lang, x in model.limits.items()], "model string, low double, high double")
     out = scores.join(F.broadcast(limits), "model", "left")  # a row a language
     inside = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
@@ -464,7 +502,7 @@ def keep_good(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_c
     if not model.alphabet:
         return df.where(F.col(text_col) != "")
     blocks = _blocks(df)
-    if model.fitted and model.fitted[0] is df:
+    if model.fitted and model.fitted[0] is df and _is_scan(df):
         folder = model.fitted[2]
     else:
         folder = _block_tables(_blocks_as(blocks, id_col, text_col, lang_col), model)

@@ -140,7 +140,9 @@ def test_classifier_edges(spark):
     model = kneser_ney.fit(docs, labels)
     kept = sorted(r["doc_id"] or -1 for r in kneser_ney.classify(docs, model).where("keep").collect())
     assert 102 not in kept and 100 not in kept and 101 not in kept and set(range(1, 60)) <= set(kept)
-    assert kneser_ney.keep_good(docs, model).columns == docs.columns
+    good = kneser_ney.keep_good(docs, model)
+    assert good.columns == docs.columns
+    assert sorted(r["doc_id"] or -1 for r in good.collect()) == kept
     none = kneser_ney.fit(docs, labels.limit(0))
     assert kneser_ney.classify(docs, none).where("keep").count() == 63
     assert kneser_ney.classify(docs.limit(0), model).count() == 0
