@@ -26,6 +26,7 @@ by ``classify`` and are kept by ``keep_good``.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -156,7 +157,7 @@ def _trusted_folder(docs: DataFrame, trusted: DataFrame) -> str:
     """Write each block's trusted ids below a folder of the shared one: ids meet, no text moves."""
     path = shared_path(docs.sparkSession, "trusted_blocks")
     found = docs.select("id", F.col("__block").alias("block")).join(trusted, "id", "left_semi").select("block", "id").distinct()
-    found.repartition("block", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("block").parquet(path)
+    found.repartition("block").write.partitionBy("block").parquet(path)
     return path
 
 
@@ -167,7 +168,9 @@ def _read_block(fs, root: str, block: int, columns: list[str]):
     path = f"{root}/block={block}"
     if fs.get_file_info(path).type.name == "NotFound":
         return None
-    return ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=columns, use_threads=False)
+    found = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=columns, use_threads=False)
+    pa.default_memory_pool().release_unused()
+    return found
 
 
 class _Trusted:
@@ -231,9 +234,10 @@ def _count_grams(docs: DataFrame, folder: str, alphabet: list[int], languages: d
             for lo, hi in text_chunks(texts):
                 new.append(_keyed(texts[lo:hi], langs[lo:hi], table, languages))
                 size += len(new[-1])
-                if size > 1 << 21:
+                if size > 1 << 19:
                     sums, new, size = _fold(sums, new), [], 0
         code, k = _fold(sums, new)
+        pa.default_memory_pool().release_unused()
         for lo in range(0, len(code), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(code[lo : lo + 50_000].view(np.int64)), pa.array(k[lo : lo + 50_000])], ["key", "n"])
 
@@ -243,14 +247,16 @@ def _count_grams(docs: DataFrame, folder: str, alphabet: list[int], languages: d
 def _build(docs: DataFrame, trusted: DataFrame, min_trusted: int) -> QualityModel:
     folder = _trusted_folder(docs, trusted)
     docs = docs.where("text <> ''").select("id", "lang", "text", "__block")
-    signs = staged(_count_signs(docs, folder), "signs")
+    with _small_batches(docs.sparkSession):
+        signs = staged(_count_signs(docs, folder), "signs")
     top = signs.where(F.col("sign") < 0x110000).groupBy("sign").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sign").limit(ALPHABET).collect()
     if not top:
         return QualityModel([], {})
     own = signs.where((F.col("sign") == 0x110000) & (F.col("n") >= min_trusted) & (F.col("lang") != POOLED)).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     model = QualityModel([r["sign"] for r in top], {r["lang"]: k for k, r in enumerate(own, 1)})
 
-    counts = staged(_count_grams(docs, folder, model.alphabet, model.languages), "grams")
+    with _small_batches(docs.sparkSession):
+        counts = staged(_count_grams(docs, folder, model.alphabet, model.languages), "grams")
     pooled = counts.groupBy(F.col("key").bitwiseAND(F.lit(_SIGNS)).alias("key")).agg(F.sum("n").alias("n"))
     model.grams = staged(counts.where(F.col("key") > _SIGNS).unionByName(pooled), "all_grams")
     levels = {ORDER: model.grams}
@@ -275,6 +281,18 @@ def _build(docs: DataFrame, trusted: DataFrame, min_trusted: int) -> QualityMode
     return model
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = 500):
+    """Arrow batches of few rows while texts are read: they are held in each JVM and worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _is_scan(df: DataFrame) -> bool:
     """Whether ``df`` is a scan of Parquet files, filtered or projected at most."""
     node = df._jdf.queryExecution().analyzed()
@@ -314,7 +332,7 @@ def _distinct_grams(docs: DataFrame, model: QualityModel) -> DataFrame:
                 for a, b in text_chunks(texts[lo:hi]):
                     new.append(np.unique(_keyed(texts[lo + a : lo + b], langs[lo + a : lo + b], table, languages)))
                     size += len(new[-1])
-                    if size > 1 << 21:
+                    if size > 1 << 19:
                         known, new, size = np.unique(np.concatenate([known, *new])), [], 0
         if block is not None:
             yield from given()
@@ -390,7 +408,8 @@ def _block_tables(docs: DataFrame, model: QualityModel) -> str:
     """Write the bits of each block's n-grams below a folder of the shared one."""
     spark = docs.sparkSession
     asked, path = shared_path(spark, "asked"), shared_path(spark, "bits")
-    _written(_distinct_grams(docs, model), asked)
+    with _small_batches(spark):
+        _written(_distinct_grams(docs, model), asked)
     found = _looked_up(spark.read.schema("block long, key long").parquet(asked), model, spark)
     _written(found.repartition("block", F.pmod(F.xxhash64("key"), F.lit(32))).sortWithinPartitions("block", "key"), path, "block")
     delete_path(spark, asked)
@@ -459,7 +478,8 @@ def _scored(docs: DataFrame, model: QualityModel, folder: str) -> DataFrame:
 
 def _scores(docs: DataFrame, model: QualityModel) -> tuple[DataFrame, str]:
     folder = _block_tables(docs, model)
-    return staged(_scored(docs, model, folder), "scores"), folder
+    with _small_batches(docs.sparkSession):
+        return staged(_scored(docs, model, folder), "scores"), folder
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantiles: tuple[float, float] = (0.005, 0.995), margin: float = 2.0, min_trusted: int = 20) -> QualityModel:
