@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,3 +74,15 @@ def text_chunks(texts: list, limit: int = 1 << 19):
         size += n + 1
     if lo < len(texts):
         yield lo, len(texts)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Arrow batches of few rows while texts are read: they are held in each JVM and worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -26,7 +26,6 @@ by ``classify`` and are kept by ``keep_good``.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm._shared import delete_path, shared_path, slices, staged, text_chunks
+from corvane.llm._shared import delete_path, shared_path, slices, small_batches, staged, text_chunks
 from corvane.llm.token_files import _file_system
 
 ORDER = 5
@@ -247,7 +246,7 @@ def _count_grams(docs: DataFrame, folder: str, alphabet: list[int], languages: d
 def _build(docs: DataFrame, trusted: DataFrame, min_trusted: int) -> QualityModel:
     folder = _trusted_folder(docs, trusted)
     docs = docs.where("text <> ''").select("id", "lang", "text", "__block")
-    with _small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession):
         signs = staged(_count_signs(docs, folder), "signs")
     top = signs.where(F.col("sign") < 0x110000).groupBy("sign").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sign").limit(ALPHABET).collect()
     if not top:
@@ -255,7 +254,7 @@ def _build(docs: DataFrame, trusted: DataFrame, min_trusted: int) -> QualityMode
     own = signs.where((F.col("sign") == 0x110000) & (F.col("n") >= min_trusted) & (F.col("lang") != POOLED)).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     model = QualityModel([r["sign"] for r in top], {r["lang"]: k for k, r in enumerate(own, 1)})
 
-    with _small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession):
         counts = staged(_count_grams(docs, folder, model.alphabet, model.languages), "grams")
     pooled = counts.groupBy(F.col("key").bitwiseAND(F.lit(_SIGNS)).alias("key")).agg(F.sum("n").alias("n"))
     model.grams = staged(counts.where(F.col("key") > _SIGNS).unionByName(pooled), "all_grams")
@@ -281,18 +280,6 @@ def _build(docs: DataFrame, trusted: DataFrame, min_trusted: int) -> QualityMode
     return model
 
 
-@contextmanager
-def _small_batches(spark: SparkSession, rows: int = 500):
-    """Arrow batches of few rows while texts are read: they are held in each JVM and worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _is_scan(df: DataFrame) -> bool:
     """Whether ``df`` is a scan of Parquet files, filtered or projected at most."""
     node = df._jdf.queryExecution().analyzed()
@@ -408,7 +395,7 @@ def _block_tables(docs: DataFrame, model: QualityModel) -> str:
     """Write the bits of each block's n-grams below a folder of the shared one."""
     spark = docs.sparkSession
     asked, path = shared_path(spark, "asked"), shared_path(spark, "bits")
-    with _small_batches(spark):
+    with small_batches(spark):
         _written(_distinct_grams(docs, model), asked)
     found = _looked_up(spark.read.schema("block long, key long").parquet(asked), model, spark)
     _written(found.repartition("block", F.pmod(F.xxhash64("key"), F.lit(32))).sortWithinPartitions("block", "key"), path, "block")
@@ -478,7 +465,7 @@ def _scored(docs: DataFrame, model: QualityModel, folder: str) -> DataFrame:
 
 def _scores(docs: DataFrame, model: QualityModel) -> tuple[DataFrame, str]:
     folder = _block_tables(docs, model)
-    with _small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession):
         return staged(_scored(docs, model, folder), "scores"), folder
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm._components import connected_components
-from corvane.llm._shared import slices, staged, text_chunks
+from corvane.llm._shared import slices, small_batches, staged, text_chunks
 from corvane.llm._words import shingle_sets
 
 #: The counter table: 2**COUNTER_BITS counters, whatever the size of the input.
@@ -270,8 +270,17 @@ def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, n_shingles, component_id): two documents are linked when the Jaccard
     similarity of their shingle sets is at least ``percent`` / 100; component_id is
     the smallest id reachable over links."""
-    spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    with small_batches(df.sparkSession):
+        rows, named = _components(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), width, percent)
+    salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.drop(*PARITY).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    out = rows.join(salted, ["sid", "salt"], "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.expr("if(n > 0, coalesce(component_id, id), id)").alias("component_id"))
+
+
+def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, n, sid, ...) of documents and the (sid, component_id) that are not a document's own; both are tables."""
+    spark = docs.sparkSession
     for seed in range(1, 9):
         first = staged(_first_pass(docs, width, seed), "first_pass")
         rows = first.where("n is not null").select("id", "n", "sid", "check", *PARITY)
@@ -327,7 +336,4 @@ def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = classes.join(comp.withColumnRenamed("node", "sid"), "sid", "left").where("k > 1 or comp is not null").select("sid", F.coalesce("comp", "sid").alias("comp"), "rep")
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = staged(named.join(least, "comp").select("sid", "component_id"), "named")
-    salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.drop(*PARITY).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    out = rows.join(salted, ["sid", "salt"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.expr("if(n > 0, coalesce(component_id, id), id)").alias("component_id"))
+    return rows, named
