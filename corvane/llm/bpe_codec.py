@@ -24,7 +24,7 @@ from corvane.llm._bytebpe import ByteVocab, byte_starts, cut_pretokens, joined_p
 from corvane.llm._shared import slices, text_chunks
 
 #: Distinct fragments a worker remembers; when full, it starts anew (speed only).
-CACHE_ENTRIES = 1 << 20
+CACHE_ENTRIES = 1 << 17
 
 
 class ForcedBoundaryEncoder:
