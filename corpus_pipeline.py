@@ -19,15 +19,25 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 #: Whole pipelines of a learned model and near-duplicate groups can't be put in SQL.
 ORACLE_SQL = None
 
+#: Rows of an Arrow batch: whole texts are held in each JVM and worker.
+BATCH_ROWS = 500
+
+
+def _few_rows(spark: SparkSession) -> None:
+    """A stage's result is made after the stage returns, so the setting stays in the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    _few_rows(spark)
     model = kneser_ney.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return kneser_ney.keep_good(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines repeated in many documents go; n_chars follows the text."""
+    _few_rows(spark)
     out = line_dedup.line_dedup(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
     out = out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
     return out.select(*docs.columns)
@@ -35,6 +45,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one of the smallest id."""
+    _few_rows(spark)
     # rows without an id get one from their content, above all others
     spare = F.expr("(1L << 62) + pmod(xxhash64(text, lang, source), 1L << 61)")
     keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), spare))
@@ -48,11 +59,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, also with its parts reordered, go."""
+    _few_rows(spark)
     return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digests of the ids and of the text read back."""
+    _few_rows(spark)
     out = bpe_codec.encode_decode(docs, BYTE_BPE)
     return out.select("doc_id", bpe_codec.n_ids(F.col("ids")).alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

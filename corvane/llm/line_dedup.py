@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from corvane.llm._shared import delete_path, shared_path, slices, staged
+from corvane.llm._shared import delete_path, shared_path, slices, small_batches, staged
 
 #: The signs stripped from both ends of a line.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -109,7 +109,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(ids), pa.array(batch.astype(np.int32))], ["h1", "h2", "id", "batch"])
 
     path = shared_path(spark, "line_keys")
-    docs.mapInArrow(keys, "h1 long, h2 long, id long, batch int").write.partitionBy("batch").parquet(path)
+    with small_batches(spark):
+        docs.mapInArrow(keys, "h1 long, h2 long, id long, batch int").write.partitionBy("batch").parquet(path)
     pairs = spark.read.schema("h1 long, h2 long, id long, batch int").parquet(path)
     repeated = docs.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count() > 0
     if repeated:
