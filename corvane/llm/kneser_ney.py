@@ -2,14 +2,17 @@
 
 Models are over characters (order ``ORDER``), one a language, counted on all
 trusted documents of the table: those labelled of good quality and not toxic,
-without every ``HELD_OUT``-th by hash.  No count is cut off or sampled.
+without every ``HELD_OUT``-th by hash.  No count is cut off or sampled.  A model has
+symbols of its own: one for each of the commonest signs of its trusted text, and a
+sequence of several for each rarer one, so no two of these signs are merged.  Signs
+that this text does not hold have no counts, whichever they are, and share a symbol.
 
 1. Map tasks count their own n-grams; counts meet by n-gram.  Lower orders count
-   distinct signs to the left.  Only counts of counts and the two lowest orders, which
-   the alphabet bounds, come to the driver.
+   distinct symbols to the left.  Only the distinct signs, counts of counts and the two
+   lowest orders, which Unicode and the symbols bound, come to the driver.
 2. Documents are read in blocks of ``BLOCK`` rows of a file.  Each block gives its
    distinct n-grams, which meet the counts in shards dealt by language and the third
-   and second sign from the end, so a shard holds all of an n-gram's orders from 3 up
+   and second symbol from the end, so a shard holds all of an n-gram's orders from 3 up
    and yields its probability; these go back to the blocks.
 3. A second read of each block adds up its documents' bits, hence no text is shuffled.
 
@@ -37,7 +40,7 @@ from corvane.llm._shared import delete_path, shared_path, slices, small_batches,
 from corvane.llm.token_files import _file_system
 
 ORDER = 5
-#: Characters of a model: the commonest ones; all others are one unknown sign.
+#: Signs of a model that are one symbol each: the commonest ones; rarer ones take several.
 ALPHABET = 250
 #: Languages with a model of their own: the commonest ones; all others share the pooled one.
 LANGUAGES = 500
@@ -47,14 +50,57 @@ BLOCK = 16_384
 SHARD_ROWS = 1_000_000
 HELD_OUT = 5
 POOLED = "*"
-_START, _UNKNOWN = 251, 252
-#: A key is the language's number above the five signs of an n-gram.
+_START, _UNSEEN = 251, 252
+#: First symbols of rarer signs, and how many digits of base ``ALPHABET`` follow each.
+_LEADS = ((250, 1), (253, 1), (254, 2), (255, 3))
+_LENGTH = np.ones(256, np.int64)
+for _lead, _digits in _LEADS:
+    _LENGTH[_lead] += _digits
+#: A key is the language's number above the five symbols of an n-gram.
 _SIGNS = (1 << 40) - 1
 
 
-def _codes(text: str, table: np.ndarray) -> np.ndarray:
-    """The n-grams of a text as integers of one byte a character."""
-    sym = table[np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), len(table) - 1)]
+class Symbols:
+    """Code point to symbols, by pages of 256; the signs are given commonest first."""
+
+    def __init__(self, signs):
+        signs = np.asarray(signs, np.int64)
+        word, rest = np.arange(len(signs)), np.arange(len(signs)) - ALPHABET
+        for lead, digits in _LEADS:  # the lead is the lowest byte, then come the digits
+            here = (rest >= 0) & (rest < ALPHABET**digits)
+            word[here] = lead + sum((rest[here] // ALPHABET**k % ALPHABET) << 8 * (digits - k) for k in range(digits))
+            rest = np.where(here, -1, rest - ALPHABET**digits)
+        page, at = np.unique(signs >> 8, return_inverse=True)
+        self.page = np.zeros(0x110000 >> 8, np.int64)
+        self.page[page] = 256 * np.arange(1, len(page) + 1)
+        self.word = np.full(256 * (len(page) + 1), _UNSEEN, np.uint64)
+        self.word[256 * (at + 1) + (signs & 255)] = word
+        self.single = len(signs) <= ALPHABET
+
+    def of(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        word = self.word[self.page[points >> 8] + (points & 255)]
+        if self.single:
+            return word
+        many = _LENGTH[word & np.uint64(255)]
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(word, many) >> (8 * nth).astype(np.uint64) & np.uint64(255)
+
+
+class _Tables(dict):
+    """The symbols of each model, made when first asked for."""
+
+    def __init__(self, alphabets: dict[int, np.ndarray]):
+        self.alphabets = alphabets
+
+    def __missing__(self, number: int) -> Symbols:
+        self[number] = symbol_table(self.alphabets[number])
+        return self[number]
+
+
+def _codes(text: str, table: Symbols) -> np.ndarray:
+    """The n-grams of a text as integers of one byte a symbol."""
+    sym = table.of(text)
     padded = np.concatenate([np.full(ORDER - 1, _START, np.uint64), sym])
     code = np.zeros(len(sym), np.uint64)
     for k in range(ORDER):
@@ -62,12 +108,9 @@ def _codes(text: str, table: np.ndarray) -> np.ndarray:
     return code
 
 
-def symbol_table(alphabet: list[int]) -> np.ndarray:
-    """Code point to symbol, up to the largest code point of the alphabet; the last entry is unknown."""
-    table = np.full(max(alphabet, default=0) + 2, _UNKNOWN, np.uint64)
-    for k, c in enumerate(alphabet):
-        table[c] = k
-    return table
+def symbol_table(alphabet) -> Symbols:
+    """The symbols of the signs of an alphabet; all other signs are unseen."""
+    return Symbols(alphabet)
 
 
 def _cuts(many: list[int]) -> np.ndarray:
@@ -125,9 +168,10 @@ class KneserNey:
 
 @dataclass
 class QualityModel:
-    """Counts in a table of the shared folder; the rest is bounded by alphabet and languages."""
+    """Counts in a table of the shared folder; the rest is bounded by Unicode and languages."""
 
-    alphabet: list[int]
+    #: The signs of each model's trusted text, commonest first.
+    alphabets: dict[int, np.ndarray]
     languages: dict[str, int]
     grams: DataFrame | None = None
     cuts: dict[int, dict[int, np.ndarray]] = field(default_factory=dict)
@@ -200,9 +244,15 @@ def _fold(old: tuple[np.ndarray, np.ndarray], new: list[np.ndarray]) -> tuple[np
     return code, np.bincount(back, weights=weight, minlength=len(code)).astype(np.int64)
 
 
-def _keyed(texts: list, langs: list, table: np.ndarray, languages: dict[str, int]) -> np.ndarray:
+def _keys(texts: list, langs: list, tables: _Tables, languages: dict[str, int]) -> list[np.ndarray]:
+    """Keys of all n-grams of each text."""
+    numbers = [languages.get(lang, 0) for lang in langs]
+    return [_codes(t, tables[n]) | np.uint64(n << 40) for t, n in zip(texts, numbers, strict=True)]
+
+
+def _keyed(texts: list, langs: list, tables: _Tables, languages: dict[str, int]) -> np.ndarray:
     """Keys of all n-grams of the texts, one text after another."""
-    parts = [_codes(t, table) | np.uint64(languages.get(lang, 0) << 40) for t, lang in zip(texts, langs, strict=True)]
+    parts = _keys(texts, langs, tables, languages)
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
@@ -222,17 +272,21 @@ def _count_signs(docs: DataFrame, folder: str) -> DataFrame:
     return docs.mapInArrow(run, "lang string, sign int, n long").groupBy("lang", "sign").agg(F.sum("n").alias("n"))
 
 
-def _count_grams(docs: DataFrame, folder: str, alphabet: list[int], languages: dict[str, int]) -> DataFrame:
+def _count_grams(docs: DataFrame, folder: str, alphabets: dict[int, np.ndarray], languages: dict[str, int]) -> DataFrame:
+    """Counts of each text's n-grams in the symbols of its own language and of the pooled model."""
+
     def run(batches):
         trusted = _Trusted(folder)
-        table = symbol_table(alphabet)
+        tables = _Tables(alphabets)
         sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         new, size = [], 0
         for batch in slices(batches):
             langs, texts = trusted.texts(batch)
             for lo, hi in text_chunks(texts):
-                new.append(_keyed(texts[lo:hi], langs[lo:hi], table, languages))
-                size += len(new[-1])
+                own = [i for i in range(lo, hi) if langs[i] in languages]
+                new.append(_keyed(texts[lo:hi], [None] * (hi - lo), tables, {}))
+                new.append(_keyed([texts[i] for i in own], [langs[i] for i in own], tables, languages))
+                size += len(new[-1]) + len(new[-2])
                 if size > 1 << 19:
                     sums, new, size = _fold(sums, new), [], 0
         code, k = _fold(sums, new)
@@ -248,16 +302,22 @@ def _build(docs: DataFrame, trusted: DataFrame, min_trusted: int) -> QualityMode
     docs = docs.where("text <> ''").select("id", "lang", "text", "__block")
     with small_batches(docs.sparkSession):
         signs = staged(_count_signs(docs, folder), "signs")
-    top = signs.where(F.col("sign") < 0x110000).groupBy("sign").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sign").limit(ALPHABET).collect()
-    if not top:
-        return QualityModel([], {})
+    real = signs.where(F.col("sign") < 0x110000)
+    top = real.groupBy("sign").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sign").toArrow()
+    if not top.num_rows:
+        return QualityModel({}, {})
     own = signs.where((F.col("sign") == 0x110000) & (F.col("n") >= min_trusted) & (F.col("lang") != POOLED)).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    model = QualityModel([r["sign"] for r in top], {r["lang"]: k for k, r in enumerate(own, 1)})
+    model = QualityModel({0: top.column("sign").to_numpy()}, {r["lang"]: k for k, r in enumerate(own, 1)})
+    found = real.where(F.col("lang").isin(list(model.languages))).toArrow()  # distinct signs of a language
+    number = np.array([model.languages[x] for x in found.column("lang").to_pylist()], np.int64)
+    sign, n = found.column("sign").to_numpy(), found.column("n").to_numpy()
+    order = np.lexsort((sign, -n, number))
+    bounds = np.searchsorted(number[order], np.arange(1, len(model.languages) + 2))
+    for k in model.languages.values():
+        model.alphabets[k] = sign[order[bounds[k - 1] : bounds[k]]]
 
     with small_batches(docs.sparkSession):
-        counts = staged(_count_grams(docs, folder, model.alphabet, model.languages), "grams")
-    pooled = counts.groupBy(F.col("key").bitwiseAND(F.lit(_SIGNS)).alias("key")).agg(F.sum("n").alias("n"))
-    model.grams = staged(counts.where(F.col("key") > _SIGNS).unionByName(pooled), "all_grams")
+        model.grams = staged(_count_grams(docs, folder, model.alphabets, model.languages), "grams")
     levels = {ORDER: model.grams}
     for n in range(ORDER - 1, 0, -1):
         short = F.col("key").bitwiseAND(F.lit(~_SIGNS | ((1 << (8 * n)) - 1)))
@@ -269,7 +329,7 @@ def _build(docs: DataFrame, trusted: DataFrame, min_trusted: int) -> QualityMode
     for number in (0, *model.languages.values()):
         model.cuts[number] = {n: _cuts(k) for n, k in many.get(number, {j: [0] * 4 for j in levels}).items()}
         model.base[number] = []
-    for n in (1, 2):  # at most 253 ** n rows a language
+    for n in (1, 2):  # at most 256 ** n rows a language
         low = levels[n].toArrow()
         key, k = low.column("key").to_numpy().view(np.uint64), low.column("n").to_numpy()
         order = np.argsort(key)
@@ -297,10 +357,10 @@ def _blocks(df: DataFrame) -> DataFrame:
 
 def _distinct_grams(docs: DataFrame, model: QualityModel) -> DataFrame:
     """(block, key): the n-grams of each block, once a map task."""
-    alphabet, languages = model.alphabet, model.languages
+    alphabets, languages = model.alphabets, model.languages
 
     def run(batches):
-        table = symbol_table(alphabet)
+        tables = _Tables(alphabets)
         block, known, new, size = None, np.zeros(0, np.uint64), [], 0
 
         def given():
@@ -317,7 +377,7 @@ def _distinct_grams(docs: DataFrame, model: QualityModel) -> DataFrame:
                         yield from given()
                     block, known, new, size = ids[lo], known[:0], [], 0
                 for a, b in text_chunks(texts[lo:hi]):
-                    new.append(np.unique(_keyed(texts[lo + a : lo + b], langs[lo + a : lo + b], table, languages)))
+                    new.append(np.unique(_keyed(texts[lo + a : lo + b], langs[lo + a : lo + b], tables, languages)))
                     size += len(new[-1])
                     if size > 1 << 19:
                         known, new, size = np.unique(np.concatenate([known, *new])), [], 0
@@ -339,20 +399,20 @@ def _written(df: DataFrame, path: str, *by: str) -> None:
     (out.partitionBy(*by) if by else out).parquet(path)
 
 
-#: The shard of a key: its language and the third and second sign from the end.
+#: The shard of a key: its language and the third and second symbol from the end.
 _CELL = "shiftright(key, 40) * 65536 + (shiftright(key, 8) & 65535)"
 
 
 def _looked_up(asked: DataFrame, model: QualityModel, spark: SparkSession) -> DataFrame:
     """(block, key, bits) of every asked key, from the shards of the counts.
 
-    A shard meets the counts of its cells first, which the alphabet bounds, and then
+    A shard meets the counts of its cells first, which the symbols bound, and then
     answers what is asked batch by batch.  Cells that are asked for more than
     ``SHARD_ROWS`` times are split, and their counts go to each part.
     """
     cell = F.expr(_CELL).alias("cell")
     often = asked.groupBy(cell).agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS)
-    often = F.broadcast(staged(often.select("cell", F.ceil(F.col("n") / SHARD_ROWS).alias("parts")), "often"))  # at most 253 ** 2 rows a language
+    often = F.broadcast(staged(often.select("cell", F.ceil(F.col("n") / SHARD_ROWS).alias("parts")), "often"))  # at most 256 ** 2 rows a language
     parts = F.coalesce("parts", F.lit(1).cast("long"))
     counts = model.grams.select("key", "n", cell).join(often, "cell", "left").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(None).cast("long").alias("block"), "key", "n")
     wanted = asked.select("block", "key", cell).join(often, "cell", "left").select("cell", F.pmod(F.xxhash64("block", "key"), parts).alias("part"), "block", "key", F.lit(0).cast("long").alias("n"))
@@ -427,7 +487,7 @@ class _Bits:
         return self.bits[at]
 
 
-def _perplexities(langs: list, texts: list, blocks: np.ndarray, table: np.ndarray, languages: dict[str, int], bits: _Bits) -> list[float | None]:
+def _perplexities(langs: list, texts: list, blocks: np.ndarray, tables: _Tables, languages: dict[str, int], bits: _Bits) -> list[float | None]:
     out: list[float | None] = [None] * len(texts)
     for start, end in _runs(blocks):
         some = [i for i in range(start, end) if texts[i]]
@@ -436,11 +496,12 @@ def _perplexities(langs: list, texts: list, blocks: np.ndarray, table: np.ndarra
         bits.load(int(blocks[start]))
         for lo, hi in text_chunks([texts[i] for i in some]):
             at = some[lo:hi]
-            each = bits.of(_keyed([texts[i] for i in at], [langs[i] for i in at], table, languages))
+            keys = _keys([texts[i] for i in at], [langs[i] for i in at], tables, languages)
+            each = bits.of(np.concatenate(keys))
             sums = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
-            ends = np.cumsum([len(texts[i]) for i in at]).tolist()
-            for i, e in zip(at, ends, strict=True):
-                out[i] = 2.0 ** float((sums[e] - sums[e - len(texts[i])]) / len(texts[i]))
+            ends = np.cumsum([len(k) for k in keys]).tolist()
+            for i, k, e in zip(at, keys, ends, strict=True):
+                out[i] = 2.0 ** float((sums[e] - sums[e - len(k)]) / len(texts[i]))
     return out
 
 
@@ -450,13 +511,13 @@ def _plain(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFram
 
 def _scored(docs: DataFrame, model: QualityModel, folder: str) -> DataFrame:
     """(id, lang, model, perplexity, empty) of every row of blocks."""
-    alphabet, languages = model.alphabet, model.languages
+    alphabets, languages = model.alphabets, model.languages
 
     def run(batches):
-        table, bits = symbol_table(alphabet), _Bits(folder)
+        tables, bits = _Tables(alphabets), _Bits(folder)
         for batch in slices(batches):
             langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            ppl = _perplexities(langs, texts, batch.column(3).to_numpy(), table, languages, bits)
+            ppl = _perplexities(langs, texts, batch.column(3).to_numpy(), tables, languages, bits)
             names = [_language(languages, x) for x in langs]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(ppl, pa.float64()), pa.array([not t for t in texts], pa.bool_())], ["id", "lang", "model", "perplexity", "empty"])
 
@@ -476,7 +537,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(HELD_OUT))
     docs = _blocks(_plain(df, id_col, text_col, lang_col))
     model = _build(docs, trusted.where(fold > 0), min_trusted)
-    if not model.alphabet:
+    if not model.alphabets:
         return model
     scores, folder = _scores(docs, model)
     model.fitted = df, scores, folder
@@ -494,7 +555,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 def classify(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang, perplexity, low, high, keep) of every document."""
     spark = df.sparkSession
-    if not model.alphabet:
+    if not model.alphabets:
         none = F.lit(None).cast("double")
         return _plain(df, id_col, text_col, lang_col).select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), none.alias("perplexity"), none.alias("low"), none.alias("high"), F.coalesce(F.col("text") != "", F.lit(False)).alias("keep"))
     scores = model.fitted[1] if model.fitted and model.fitted[0] is df else _scores(_blocks(_plain(df, id_col, text_col, lang_col)), model)[0]
@@ -506,21 +567,21 @@ def classify(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_co
 
 def keep_good(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``df`` that the classifier keeps, all columns as they are."""
-    if not model.alphabet:
+    if not model.alphabets:
         return df.where(F.col(text_col) != "")
     blocks = _blocks(df)
     if model.fitted and model.fitted[0] is df and _is_scan(df):
         folder = model.fitted[2]
     else:
         folder = _block_tables(_blocks_as(blocks, id_col, text_col, lang_col), model)
-    alphabet, languages, limits = model.alphabet, model.languages, model.limits
+    alphabets, languages, limits = model.alphabets, model.languages, model.limits
     text_at, lang_at = df.columns.index(text_col), df.columns.index(lang_col)
 
     def run(batches):
-        table, bits = symbol_table(alphabet), _Bits(folder)
+        tables, bits = _Tables(alphabets), _Bits(folder)
         for batch in slices(batches):
             langs, texts = batch.column(lang_at).to_pylist(), batch.column(text_at).to_pylist()
-            ppl = _perplexities(langs, texts, batch.column(batch.num_columns - 1).to_numpy(), table, languages, bits)
+            ppl = _perplexities(langs, texts, batch.column(batch.num_columns - 1).to_numpy(), tables, languages, bits)
             keep = [kept(limits, _language(languages, x), t, p) for x, t, p in zip(langs, texts, ppl, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(list(range(batch.num_columns - 1)))
 

@@ -124,6 +124,30 @@ def test_sharded_perplexities_equal_plain_model(spark, sf_dir, monkeypatch):
     assert found == pytest.approx(brute.perplexities(rows, brute.training_ids(labels), kneser_ney), rel=1e-6)
 
 
+def test_no_two_trusted_signs_are_merged():
+    signs = [*range(0x20, 0x7F), *range(0x400, 0x500), *range(0x4E00, 0x9FA5), *range(0x20000, 0x2A6D0)]
+    table = kneser_ney.symbol_table(signs)
+    codes = [tuple(table.of(chr(c)).tolist()) for c in signs]
+    assert len(set(codes)) == len(signs)
+    text = "".join(map(chr, signs[::97]))
+    assert tuple(table.of(text).tolist()) == sum(codes[::97], ())  # no lead is a digit: read back one way
+    assert all(len(c) == 1 for c in codes[:250]) and all(c[0] in (250, 253, 254, 255) and max(c[1:]) < 250 for c in codes[250:])
+
+
+def test_classifier_reads_a_language_of_rare_signs(spark):
+    rng = np.random.default_rng(2)
+    latin = [chr(0xC0 + k) for k in range(300)]
+    words = ["".join(chr(0x4E00 + x) for x in rng.integers(0, 600, 4)) for _ in range(50)]
+    rows = [(i, "".join(rng.choice(latin, 5000)), "xx") for i in range(40)]
+    rows += [(i, "".join(rng.choice(words, 100)), "zh") for i in range(100, 160)]
+    rows += [(i, "".join(rng.permutation(list("".join(rng.choice(words, 100))))), "zh") for i in range(200, 210)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows if i < 200], "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r for r in kneser_ney.classify(docs, kneser_ney.fit(docs, labels)).collect()}
+    assert all(found[i]["keep"] for i in range(100, 160))
+    assert not any(found[i]["keep"] for i in range(200, 210))
+
+
 def test_classifier_held_out(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").collect()
     kept = {r["doc_id"] for r in queries.op3_kneser_ney(spark, sf_dir).collect()}
