@@ -49,10 +49,12 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chroma_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignments of every hundredth recording with all recordings."""
-    audio = chroma_prints.recordings(_table(spark, sf_dir, "embeddings"))
-    cuts = chroma_prints.fit_cuts(audio, "id", "pcm")
-    return chroma_prints.search(chroma_prints.fingerprints(audio, cuts))
+    """Every hundredth recording with its class and its links to all recordings."""
+    table = _table(spark, sf_dir, "embeddings")
+    sample = table.where(F.col("vec_id").isin(chroma_prints.sample_ids(table, "vec_id")))
+    cuts = chroma_prints.fit_cuts(chroma_prints.recordings(sample), "id", "pcm")
+    prints = chroma_prints.fingerprints(chroma_prints.recordings(table), cuts)
+    return chroma_prints.link_counts(prints, silent=chroma_prints.silent_print(cuts)).withColumnRenamed("id", "vec_id")
 
 
 def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
