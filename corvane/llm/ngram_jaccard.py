@@ -2,8 +2,9 @@
 suffix filters; links and components without emitting all pairs of a group.
 
 1. Every text becomes its set of shingle hashes; equal sets become one class
-   (a 64-bit signature, checked against a second one).  The same pass counts
-   shingles over all documents in a hashed table of fixed size.
+   (a 64-bit signature, checked against one of other word hashes; where two sets share
+   a signature all is hashed anew).  The same pass counts shingles over all documents
+   in a hashed table of fixed size.
 2. Rare-first order: shingles by (counter, hash).  Counter collisions can make a
    shingle look commoner than it is, which costs time but loses nothing, since any
    order that all sets share is a valid prefix order.
@@ -15,14 +16,19 @@ suffix filters; links and components without emitting all pairs of a group.
    then the exact intersection).
 5. Links give components.  Lists that still hold several components give the pairs
    between them (length, positional and parity filters) that were not verified before; those
-   are verified too, and the components joined.  Thus every link between different
+   are verified too, and the components joined.  Lists of over ``HOT_LIST`` members are
+   cut by set size and salted for that.  Thus every link between different
    components is found; links inside a component need no proof.
 
+A row is found again by its id and the hash of its text, so rows of a null or repeated
+id take part like all others.
+
 Defined results: null or empty texts, and texts of blanks only, have an empty set,
 0 shingles, and are linked with nothing; fewer words than ``width`` make one shingle
 of all words; rows that share an id share nothing but the id; a row with a null id
-takes the component of its class (null if no row of its class has an id); an empty table gives an empty
-table; extra columns are not carried.
+links like any other and takes the smallest id of its component (null if no row of it
+has an id); an empty table gives an empty table; extra columns are not carried by
+``ngram_jaccard`` and are kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -46,9 +52,15 @@ BLOCK_BITS = 14
 HOT_SHARE, SPLITS = 0.01, 32
 #: A leader's members are verified in lots of this size.
 LOT = 400
-#: At most so many ids with their routes (some 100 bytes each) are broadcast; beyond, the join is shuffled.
-BROADCAST_IDS = 300_000
+#: Routes of one row: a leader of more lots has several rows.
+ROUTES = 1000
+#: A side of a join is broadcast up to so many bytes by count; beyond, the join is shuffled.
+BROADCAST_BYTES = 32 << 20
+#: Lists of more members are cut into cells before members of different components are paired.
+HOT_LIST = 20_000
 SALTS = 16
+#: Sets go to their lots in batches of about so many bytes.
+SENT_BYTES = 4 << 20
 
 
 def _level(counts: np.ndarray) -> np.ndarray:
@@ -66,6 +78,8 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return tuple(np.array([xxhash.xxh3_64_intdigest(raw), xxhash.xxh64_intdigest(raw)], np.uint64).view(np.int64).tolist())
 
 
+#: Added to the seed for the words of the second signature.
+OTHER = 1000
 #: Columns of a set's parities: bit k is the parity of its hashes that end in k (of 256).
 PARITY = ("p0", "p1", "p2", "p3")
 
@@ -76,8 +90,8 @@ def _parity(s: np.ndarray) -> np.ndarray:
 
 
 def _first_pass(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """Rows of documents (id, n, sid, check) and rows of counters (part, block, counts)."""
-    names = ["id", "n", "sid", "check", *PARITY, "part", "block", "counts"]
+    """Rows of documents (id, th, n, sid, check) and rows of counters (part, block, counts)."""
+    names = ["id", "th", "n", "sid", "check", *PARITY, "part", "block", "counts"]
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -93,11 +107,11 @@ def _first_pass(docs: DataFrame, width: int, seed: int) -> DataFrame:
         size = 0
         for batch in slices(batches):
             n, sid, check, parity = [], [], [], []
-            for s in _sets(batch.column(1).to_pylist(), width, seed):
-                a, b = _signature(s)
+            texts = batch.column(2).to_pylist()
+            for s, other in zip(_sets(texts, width, seed), _sets(texts, width, seed + OTHER), strict=True):
                 n.append(len(s))
-                sid.append(a)
-                check.append(b)
+                sid.append(_signature(s)[0])
+                check.append(_signature(other)[1])
                 parity.append(_parity(s))
                 held.append((s >> np.uint64(64 - COUNTER_BITS)).astype(np.uint32))
                 size += len(s)
@@ -105,7 +119,7 @@ def _first_pass(docs: DataFrame, width: int, seed: int) -> DataFrame:
                     flush()
                     size = 0
             k = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(check, pa.int64()), *(pa.array(x) for x in np.array(parity, np.int64).reshape(-1, 4).T.copy()), none(k, pa.int64()), none(k, pa.int32()), none(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(check, pa.int64()), *(pa.array(x) for x in np.array(parity, np.int64).reshape(-1, 4).T.copy()), none(k, pa.int64()), none(k, pa.int32()), none(k, pa.binary())], names)
         flush()
         part, pack = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
         blocks, packed = [], []
@@ -116,9 +130,9 @@ def _first_pass(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 packed.append(pack.compress(own.tobytes()))
         k = len(blocks)
         if k:
-            yield pa.RecordBatch.from_arrays([*(none(k, pa.int64()) for _ in range(4 + len(PARITY))), pa.array([part] * k, pa.int64()), pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(none(k, pa.int64()) for _ in range(5 + len(PARITY))), pa.array([part] * k, pa.int64()), pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], names)
 
-    return docs.mapInArrow(run, f"id long, n long, sid long, check long, {', '.join(f'{p} long' for p in PARITY)}, part long, block int, counts binary")
+    return docs.select("id", "th", "text").mapInArrow(run, f"id long, th long, n long, sid long, check long, {', '.join(f'{p} long' for p in PARITY)}, part long, block int, counts binary")
 
 
 def _sum_counters(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -221,33 +235,55 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return (100 + percent) * int(np.count_nonzero(both[1:] == both[:-1])) >= asked
 
 
+def _small(df: DataFrame, size) -> bool:
+    """Whether the rows of ``df``, of ``size`` bytes each, are few enough to broadcast."""
+    return (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def _sent(columns: list[list]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["a", "lot", "kind", "b", "items"])
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, seed: int, percent: int) -> DataFrame:
     """The linked ones of the distinct pairs (a, b).  Only sets that occur in a pair
     are made again from their texts; a leader's set is sent once per lot of members."""
-    pairs = staged(pairs.join(pairs.groupBy("a").agg(F.count("*").alias("k")), "a"), "pairs").withColumn("lots", F.expr(f"cast(ceil(k / {LOT}) as int)"))
-    pairs = pairs.withColumn("lot", F.expr("cast(pmod(b, lots) as int)")).drop("k")
+    many = pairs.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") > LOT)
+    pairs = staged(pairs.join(many, "a", "left").select("a", "b", F.expr(f"cast(coalesce(ceil(k / {LOT}), 1) as int)").alias("lots")), "pairs")
+    pairs = pairs.withColumn("lot", F.expr("cast(pmod(b, lots) as int)"))
     route = lambda kind: F.struct("a", "lot", F.lit(kind).alias("kind"))
-    members = pairs.select(F.col("b").alias("sid"), route(1).alias("route"))
-    leaders = pairs.select("a", F.explode(F.expr("sequence(0, lots - 1)")).alias("lot")).distinct().select(F.col("a").alias("sid"), route(0).alias("route"))
-    routes = members.union(leaders).groupBy("sid").agg(F.collect_list("route").alias("routes"))
-    routes = staged(classes.select("sid", F.col("rep").alias("id")).join(routes, "sid"), "routes")
-    wanted = F.broadcast(routes) if routes.count() <= BROADCAST_IDS else routes.hint("shuffle_hash")
+    # a member has a route for each list of its prefix at most; a leader's are cut into rows
+    members = pairs.select(F.col("b").alias("sid"), F.lit(0).alias("chunk"), route(1).alias("route"))
+    leaders = pairs.select("a", F.explode(F.expr("sequence(0, lots - 1)")).alias("lot")).distinct().select(F.col("a").alias("sid"), F.expr(f"lot div {ROUTES}").cast("int").alias("chunk"), route(0).alias("route"))
+    routes = members.union(leaders).groupBy("sid", "chunk").agg(F.collect_list("route").alias("routes"))
+    routes = staged(classes.select("sid", F.col("rep.id").alias("r_id"), F.col("rep.th").alias("r_th")).join(routes, "sid"), "routes")
+    wanted = F.broadcast(routes) if _small(routes, 100 + 40 * F.size("routes")) else routes.hint("shuffle_hash")
 
     def sets(batches):
+        done: set[tuple[int, int]] = set()  # spares what repeated rows would send again
         for batch in slices(batches, 500):
+            texts, sids, chunks, ways = (batch.column(k).to_pylist() for k in range(4))
+            new = [k for k, x in enumerate(zip(sids, chunks, strict=True)) if x not in done]
             out: list[list] = [[], [], [], [], []]
-            made = _sets(batch.column(0).to_pylist(), width, seed)
-            for s, sid, ways in zip(made, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if _signature(s)[0] == sid:
-                    raw = s.tobytes()
-                    for w in ways:
-                        for col, x in zip(out, (w["a"], w["lot"], w["kind"], sid, raw), strict=True):
-                            col.append(x)
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["a", "lot", "kind", "b", "items"])
+            size = 0
+            for s, k in zip(_sets([texts[k] for k in new], width, seed), new, strict=True):
+                if (sids[k], chunks[k]) in done or _signature(s)[0] != sids[k]:
+                    continue
+                if len(done) < 1 << 20:
+                    done.add((sids[k], chunks[k]))
+                raw = s.tobytes()
+                for w in ways[k]:
+                    for col, x in zip(out, (w["a"], w["lot"], w["kind"], sids[k], raw), strict=True):
+                        col.append(x)
+                    size += len(raw) + 32
+                    if size > SENT_BYTES:
+                        yield _sent(out)
+                        out, size = [[], [], [], [], []], 0
+            yield _sent(out)
 
     # every set goes straight from its text to the lots it is compared in: one shuffle
-    sent = docs.join(wanted, "id").select("text", "sid", "routes").mapInArrow(sets, "a long, lot int, kind int, b long, items binary")
+    found = docs.join(wanted, (F.col("th") == F.col("r_th")) & F.col("id").eqNullSafe(F.col("r_id")))
+    sent = found.select("text", "sid", "chunk", "routes").mapInArrow(sets, "a long, lot int, kind int, b long, items binary")
     lots = sent.repartition("a", "lot").sortWithinPartitions("a", "lot", "kind", "b")
 
     def check(batches):
@@ -266,25 +302,53 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, s
     return staged(lots.mapInArrow(check, "a long, b long").distinct(), "links")
 
 
+def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def _with_classes(rows: DataFrame, named: DataFrame, how: str) -> DataFrame:
+    """Rows with what their classes are named; a class may hold most rows, so both are salted."""
+    salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.drop(*PARITY, "check").withColumn("salt", F.pmod(F.xxhash64("id", "th"), F.lit(SALTS)).cast("int")).join(salted, ["sid", "salt"], how)
+
+
 def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id): two documents are linked when the Jaccard
     similarity of their shingle sets is at least ``percent`` / 100; component_id is
     the smallest id reachable over links."""
     with small_batches(df.sparkSession):
-        rows, named = _components(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), width, percent)
-    salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.drop(*PARITY).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    out = rows.join(salted, ["sid", "salt"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.expr("if(n > 0, coalesce(component_id, id), id)").alias("component_id"))
+        rows, named = _components(_documents(df, id_col, text_col), width, percent)
+    out = _with_classes(rows, named, "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.expr("if(n > 0, coalesce(keep.id, id), id)").alias("component_id"))
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, all columns as they are: the row of the smallest id
+    (rows without an id come last; of one id the text of the smaller hash).  Rows with
+    nothing to compare stay; a row that is given twice, id and text, stays once."""
+    with small_batches(df.sparkSession):
+        rows, named = _components(_documents(df, id_col, text_col), width, percent)
+    mine = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("th") == F.col("keep.th"))
+    lost = staged(_with_classes(rows.where("n > 0"), named, "inner").where(~mine).select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct(), "lost")
+    small = F.broadcast(lost) if _small(lost, F.lit(32)) else lost.hint("shuffle_hash")
+    text = F.col(text_col).cast("string")
+    gone = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th"))
+    out = df.join(small, gone, "left_anti")
+    if rows.groupBy("id", "th").count().where("count > 1").limit(1).count():
+        out = out.withColumn("__th", F.xxhash64(text)).dropDuplicates([id_col, "__th"]).select(*(F.col(f"`{c}`") for c in df.columns))
+    return out
 
 
 def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, n, sid, ...) of documents and the (sid, component_id) that are not a document's own; both are tables."""
+    """Rows (id, th, n, sid, ...) of documents, and (sid, keep) of the classes that several rows
+    or several classes share, keep being the first row of the component; both are tables."""
     spark = docs.sparkSession
     for seed in range(1, 9):
         first = staged(_first_pass(docs, width, seed), "first_pass")
-        rows = first.where("n is not null").select("id", "n", "sid", "check", *PARITY)
-        classes = staged(rows.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.count("*").alias("k"), F.min("check").alias("c0"), F.max("check").alias("c1"), *(F.min(p).alias(p) for p in PARITY)), "classes")
+        rows = first.where("n is not null").select("id", "th", "n", "sid", "check", *PARITY)
+        address = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
+        classes = staged(rows.where("n > 0").groupBy("sid").agg(address.alias("rep"), F.count("*").alias("k"), F.min("check").alias("c0"), F.max("check").alias("c1"), *(F.min(p).alias(p) for p in PARITY)), "classes")
         if classes.where("c0 <> c1").limit(1).count() == 0:
             break  # no two different sets share a signature
     levels = _counter_table(first)
@@ -317,15 +381,22 @@ def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     members = lists.select("h", "sid", "n", "pos").union(lists.select("h", "l_sid", "l_n", "l_pos")).distinct()
     members = members.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     members = staged(members, "members")
-    mixed = members.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
+    mixed = members.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("held")).where("lo < hi").select("h", "held")
     members = members.join(mixed, "h").join(classes.select("sid", *PARITY), "sid")
     members = staged(members, "mixed")
-    a = members.select("h", *(F.col(c).alias(f"a_{c}") for c in ("sid", "n", "pos", "comp", *PARITY)))
-    b = members.select("h", *(F.col(c).alias(f"b_{c}") for c in ("sid", "n", "pos", "comp", *PARITY)))
+    # a list of many members is cut: by size, since similar sets are of similar size (at most
+    # one step apart), and one side by salts, which the other side visits all
+    step = max(np.log(100 / percent), 0.01) * 1.000001
+    hot = f"held > {HOT_LIST}"
+    members = members.withColumn("cells", F.expr(f"cast(ceil(held / {HOT_LIST}) as int)")).withColumn("step", F.expr(f"if({hot}, cast(floor(ln(n) / {step}) as int), 0)"))
+    columns = ("sid", "n", "pos", "comp", *PARITY)
+    a = members.select("h", "step", F.expr("cast(pmod(xxhash64(sid), cells) as int)").alias("cell"), *(F.col(c).alias(f"a_{c}") for c in columns))
+    b = members.withColumn("step", F.explode(F.expr(f"if({hot}, array(step - 1, step, step + 1), array(0))"))).withColumn("cell", F.explode(F.expr("sequence(0, cells - 1)")))
+    b = b.select("h", "step", "cell", *(F.col(c).alias(f"b_{c}") for c in columns))
     # the suffix filter without the sets: parities that differ bound the difference
     apart = " + ".join(f"bit_count(a_{p} ^ b_{p})" for p in PARITY)
     suffix = F.expr(f"{100 + percent} * ({apart}) <= {100 - percent} * (a_n + b_n)")
-    across = a.join(b, (a.h == b.h) & (F.col("a_comp") < F.col("b_comp")) & _bounds("a_n", "a_pos", "b_n", "b_pos", percent) & suffix).select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
+    across = a.join(b, ["h", "step", "cell"]).where((F.col("a_comp") < F.col("b_comp")) & _bounds("a_n", "a_pos", "b_n", "b_pos", percent) & suffix).select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
     done = star.union(star.select(F.col("b"), F.col("a")))
     across = staged(across.join(done, ["a", "b"], "left_anti"), "across")
     if across.limit(1).count():
@@ -334,6 +405,6 @@ def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
 
     # only classes of several documents or on a link need a component of their own
     named = classes.join(comp.withColumnRenamed("node", "sid"), "sid", "left").where("k > 1 or comp is not null").select("sid", F.coalesce("comp", "sid").alias("comp"), "rep")
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = staged(named.join(least, "comp").select("sid", "component_id"), "named")
+    least = named.groupBy("comp").agg(F.min("rep").alias("keep"))
+    named = staged(named.join(least, "comp").select("sid", "keep"), "named")
     return rows, named
