@@ -14,10 +14,14 @@ that this text does not hold have no counts, whichever they are, and share a sym
    distinct n-grams, which meet the counts in shards dealt by language and the third
    and second symbol from the end, so a shard holds all of an n-gram's orders from 3 up
    and yields its probability; these go back to the blocks.
-3. A second read of each block adds up its documents' bits, hence no text is shuffled.
+3. A second read of each block adds up its documents' bits, hence no text is shuffled;
+   ``keep_good`` reads a third time and takes the rows that passed by their numbers.
 
-A document is kept when its perplexity a character lies between two quantiles of the
-perplexities of the held-out trusted documents of its language, widened by a margin.
+A document is kept when its perplexity a character lies between two quantiles of its
+language: the upper one of the trusted documents held out, the lower one of all trusted
+documents, since those counted score lower.  Where n documents hold no such quantile
+(fewer than 199 for 0.995), it is read off an exponential tail: the farthest value,
+moved on by the mean distance from the median on that side times ln(1 / ((n + 1)(1 - q))).
 
 Defined results: null and empty texts have no perplexity and are rejected; a null
 language, or one with fewer than ``min_trusted`` trusted documents, takes the model
@@ -177,7 +181,7 @@ class QualityModel:
     cuts: dict[int, dict[int, np.ndarray]] = field(default_factory=dict)
     base: dict[int, list] = field(default_factory=dict)
     limits: dict[str, tuple[float, float]] = field(default_factory=dict)
-    #: The frame that the model was fitted on, its blocks' table and its scores.
+    #: The frame that the model was fitted on, and its scores.
     fitted: tuple | None = None
 
 
@@ -349,10 +353,10 @@ def _is_scan(df: DataFrame) -> bool:
 
 
 def _blocks(df: DataFrame) -> DataFrame:
-    """``df`` with a ``__block`` that a row keeps however the table is read; what is
-    not a scan of Parquet files is written first."""
+    """``df`` with a ``__block`` and a ``__row`` (a number in its file) that a row keeps
+    however the table is read; what is not a scan of Parquet files is written first."""
     found = df if _is_scan(df) else staged(df, "documents")
-    return found.select("*", F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK)).alias("__block"))
+    return found.select("*", F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK)).alias("__block"), F.col("_metadata.row_index").alias("__row"))
 
 
 def _distinct_grams(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -510,7 +514,7 @@ def _plain(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFram
 
 
 def _scored(docs: DataFrame, model: QualityModel, folder: str) -> DataFrame:
-    """(id, lang, model, perplexity, empty) of every row of blocks."""
+    """(id, lang, model, perplexity, empty, block, row) of every row of blocks."""
     alphabets, languages = model.alphabets, model.languages
 
     def run(batches):
@@ -519,50 +523,60 @@ def _scored(docs: DataFrame, model: QualityModel, folder: str) -> DataFrame:
             langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             ppl = _perplexities(langs, texts, batch.column(3).to_numpy(), tables, languages, bits)
             names = [_language(languages, x) for x in langs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(ppl, pa.float64()), pa.array([not t for t in texts], pa.bool_())], ["id", "lang", "model", "perplexity", "empty"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(ppl, pa.float64()), pa.array([not t for t in texts], pa.bool_()), batch.column(3), batch.column(4)], ["id", "lang", "model", "perplexity", "empty", "block", "row"])
 
-    return docs.select("id", "lang", "text", "__block").mapInArrow(run, "id long, lang string, model string, perplexity double, empty boolean")
+    return docs.select("id", "lang", "text", "__block", "__row").mapInArrow(run, "id long, lang string, model string, perplexity double, empty boolean, block long, row long")
 
 
-def _scores(docs: DataFrame, model: QualityModel) -> tuple[DataFrame, str]:
+def _scores(docs: DataFrame, model: QualityModel) -> DataFrame:
     folder = _block_tables(docs, model)
     with small_batches(docs.sparkSession):
-        return staged(_scored(docs, model, folder), "scores"), folder
+        return staged(_scored(docs, model, folder), "scores")
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantiles: tuple[float, float] = (0.005, 0.995), margin: float = 2.0, min_trusted: int = 20) -> QualityModel:
-    """Count the trusted text, score all documents, and take the limits from the
-    perplexities of the trusted documents held out."""
+def _tail(known: DataFrame, q: float) -> dict[str, float]:
+    """The quantile q of each model's perplexities, and of all together (None)."""
+    p, far = F.col("perplexity"), max(q, 1 - q)
+    known = known.select(F.explode(F.array("model", F.lit(None).cast("string"))).alias("model"), "perplexity")
+    middle = known.groupBy("model").agg(F.count("*").alias("n"), F.percentile_approx(p, 0.5, 10_000).alias("median"), F.percentile_approx(p, q, 10_000).alias("cut")).withColumnRenamed("model", "of")
+    beyond = F.log(p / F.col("median")) if q > 0.5 else F.log(F.col("median") / p)
+    met = known.join(F.broadcast(middle), F.col("model").eqNullSafe(F.col("of"))).select("model", "n", "cut", beyond.alias("x"))  # a row a model
+    rows = met.groupBy("model").agg(F.first("n").alias("n"), F.first("cut").alias("cut"), F.coalesce(F.avg(F.when(F.col("x") > 0, F.col("x"))), F.lit(0.0)).alias("mean")).collect()
+    side = 1.0 if q > 0.5 else -1.0
+    return {r["model"]: r["cut"] * float(np.exp(side * r["mean"] * max(0.0, -np.log((r["n"] + 1) * (1 - far))))) for r in rows}
+
+
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantiles: tuple[float, float] = (0.005, 0.995), min_trusted: int = 20) -> QualityModel:
+    """Count the trusted text, score all documents, and take each language's limits."""
     trusted = staged(_trusted(labels, id_col), "trusted")
     fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(HELD_OUT))
     docs = _blocks(_plain(df, id_col, text_col, lang_col))
     model = _build(docs, trusted.where(fold > 0), min_trusted)
     if not model.alphabets:
         return model
-    scores, folder = _scores(docs, model)
-    model.fitted = df, scores, folder
-    known = scores.where("perplexity is not null").join(trusted.where(fold == 0), "id", "left_semi")
-    cuts = [F.percentile_approx("perplexity", q, 10_000) for q in quantiles]
-    rows = known.groupBy("model").agg(cuts[0].alias("low"), cuts[1].alias("high")).collect()
-    whole = known.agg(cuts[0].alias("low"), cuts[1].alias("high")).first()
-    model.limits = {r["model"]: (r["low"] / margin, r["high"] * margin) for r in rows}
-    if whole["low"] is not None:
-        pooled = (whole["low"] / margin, whole["high"] * margin)
-        model.limits = {lang: model.limits.get(lang, pooled) for lang in (*model.languages, POOLED)}
+    scores = _scores(docs, model)
+    model.fitted = df, scores
+    known = staged(scores.where("perplexity is not null").join(trusted, "id", "left_semi").select("id", "model", "perplexity"), "known")
+    low, high = _tail(known, quantiles[0]), _tail(known.where(fold == 0), quantiles[1])
+    if high:
+        model.limits = {x: (low.get(x, low[None]), high.get(x, high[None])) for x in (*model.languages, POOLED)}
     return model
 
 
+def _judged(df: DataFrame, scores: DataFrame, model: QualityModel) -> DataFrame:
+    limits = df.sparkSession.createDataFrame([(lang, *x) for lang, x in model.limits.items()], "model string, low double, high double")
+    out = scores.join(F.broadcast(limits), "model", "left")  # a row a language
+    inside = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
+    return out.withColumn("keep", ~F.col("empty") & inside)
+
+
 def classify(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang, perplexity, low, high, keep) of every document."""
-    spark = df.sparkSession
     if not model.alphabets:
         none = F.lit(None).cast("double")
         return _plain(df, id_col, text_col, lang_col).select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), none.alias("perplexity"), none.alias("low"), none.alias("high"), F.coalesce(F.col("text") != "", F.lit(False)).alias("keep"))
-    scores = model.fitted[1] if model.fitted and model.fitted[0] is df else _scores(_blocks(_plain(df, id_col, text_col, lang_col)), model)[0]
-    limits = spark.createDataFrame([(lang, *x) for lang, x in model.limits.items()], "model string, low double, high double")
-    out = scores.join(F.broadcast(limits), "model", "left")  # a row a language
-    inside = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
-    return out.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "perplexity", "low", "high", (~F.col("empty") & inside).alias("keep"))
+    scores = model.fitted[1] if model.fitted and model.fitted[0] is df else _scores(_blocks(_plain(df, id_col, text_col, lang_col)), model)
+    return _judged(df, scores, model).select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "perplexity", "low", "high", "keep")
 
 
 def keep_good(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -570,23 +584,25 @@ def keep_good(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_c
     if not model.alphabets:
         return df.where(F.col(text_col) != "")
     blocks = _blocks(df)
-    if model.fitted and model.fitted[0] is df and _is_scan(df):
-        folder = model.fitted[2]
-    else:
-        folder = _block_tables(_blocks_as(blocks, id_col, text_col, lang_col), model)
-    alphabets, languages, limits = model.alphabets, model.languages, model.limits
-    text_at, lang_at = df.columns.index(text_col), df.columns.index(lang_col)
+    scores = model.fitted[1] if model.fitted and model.fitted[0] is df and _is_scan(df) else _scores(_blocks_as(blocks, id_col, text_col, lang_col), model)
+    folder = shared_path(df.sparkSession, "kept_rows")
+    _judged(df, scores, model).where("keep").select("block", "row").repartition("block").write.partitionBy("block").parquet(folder)
+    n = len(df.columns)
 
     def run(batches):
-        tables, bits = _Tables(alphabets), _Bits(folder)
+        fs, root = _file_system(folder)
+        block, rows = None, np.zeros(0, np.int64)
         for batch in slices(batches):
-            langs, texts = batch.column(lang_at).to_pylist(), batch.column(text_at).to_pylist()
-            ppl = _perplexities(langs, texts, batch.column(batch.num_columns - 1).to_numpy(), tables, languages, bits)
-            keep = [kept(limits, _language(languages, x), t, p) for x, t, p in zip(langs, texts, ppl, strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(list(range(batch.num_columns - 1)))
+            ids, row, mark = batch.column(n).to_numpy(), batch.column(n + 1).to_numpy(), np.zeros(batch.num_rows, bool)
+            for lo, hi in _runs(ids):
+                if ids[lo] != block:
+                    found = _read_block(fs, root, int(ids[lo]), ["row"])
+                    block, rows = ids[lo], found.column("row").to_numpy() if found else np.zeros(0, np.int64)
+                mark[lo:hi] = np.isin(row[lo:hi], rows)
+            yield batch.filter(pa.array(mark)).select(list(range(n)))
 
     return blocks.mapInArrow(run, df.schema)
 
 
 def _blocks_as(blocks: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    return blocks.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), "__block")
+    return blocks.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), "__block", "__row")
