@@ -10,7 +10,7 @@ tell, for each key, in how many documents it occurs and which document keeps it.
 Defined results: a null or empty text is one empty line; a document id on several
 rows counts once per key and each of its rows is filtered alike; rows with a null
 id count for nothing and lose nothing; an empty table gives an empty table; extra
-columns are not carried.  Only keys of at least ``min_chars`` code points after
+columns are not carried by ``line_dedup`` and are kept by ``keep_lines``.  Only keys of at least ``min_chars`` code points after
 stripping are ever dropped.
 """
 
@@ -86,12 +86,10 @@ def _bounds(docs: DataFrame, batches: int) -> list[int]:
     return sorted(set(cuts or []))
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3, carry: list[str] | None = None) -> DataFrame:
-    """(id, text, n_lines, n_dropped, and the columns named in ``carry``): lines whose
-    key is in at least ``min_docs`` documents go, except in the largest id holding the
-    key; the rest is joined by LF."""
+def _deduped(df: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, batches: int, fanout: int, carry: list[str]) -> DataFrame:
+    """(id, text, n_lines, n_dropped, carried): carried is a struct of the columns named in ``carry``."""
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(c) for c in carry)).alias("carried") if carry else F.lit(None).cast("int").alias("carried"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried") if carry else F.lit(None).cast("int").alias("carried"))
     docs = rows.select("id", "text")
     cuts = np.array(_bounds(docs, batches), np.int64)
 
@@ -149,5 +147,18 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     # per document only its own lost keys: the small side is hashed, texts are not sorted
     joined = rows.join(lost.hint("shuffle_hash"), "id", "left").select("id", "text", "lost", "carried")
     schema = StructType([*docs.schema, StructField("n_lines", LongType()), StructField("n_dropped", LongType()), rows.schema["carried"]])
-    out = joined.mapInArrow(cut, schema)
-    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_lines", "n_dropped", *(F.col("carried").getField(c).alias(c) for c in carry or ()))
+    return joined.mapInArrow(cut, schema)
+
+
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
+    """(id, text, n_lines, n_dropped): lines whose key is in at least ``min_docs``
+    documents go, except in the largest id holding the key; the rest is joined by LF."""
+    out = _deduped(df, id_col, text_col, min_chars, min_docs, batches, fanout, [])
+    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_lines", "n_dropped")
+
+
+def keep_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
+    """The rows and columns of ``df`` with the lines gone from the text, whatever the columns are named."""
+    rest = [c for c in df.columns if c != text_col]
+    out = _deduped(df, id_col, text_col, min_chars, min_docs, batches, fanout, rest)
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col("carried").getField(c).alias(c) for c in df.columns))
