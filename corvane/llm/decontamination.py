@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._shared import slices, small_batches, staged, text_chunks
+from corvane.llm._shared import free_name, slices, small_batches, staged, text_chunks
 from corvane.llm._words import chain, word_hashes
 
 #: Bits of the table of seeds that every task holds, whatever the size of the benchmark.
@@ -361,5 +361,6 @@ def keep_clean(df: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_
     """The rows of ``df`` that are not contaminated, all columns as they are.  Texts move
     only where the contaminated ones are too many to broadcast their hashes."""
     found = _verdicts(_documents(df, None, text_col), benchmark, threshold, min_match, item_col, item_text_col)
-    gone = found.select(F.col("th").alias("__th")).distinct()
-    return df.join(_bounded(gone, F.lit(24)), F.xxhash64(F.col(text_col).cast("string")) == F.col("__th"), "left_anti")
+    th = free_name(df, "__th")
+    gone = found.select(F.col("th").alias(th)).distinct()
+    return df.join(_bounded(gone, F.lit(24)), F.xxhash64(F.col(text_col).cast("string")) == F.col(th), "left_anti")

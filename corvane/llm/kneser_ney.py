@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm._shared import delete_path, shared_path, slices, small_batches, staged, text_chunks
+from corvane.llm._shared import delete_path, free_name, shared_path, slices, small_batches, staged, text_chunks
 from corvane.llm.token_files import _file_system
 
 ORDER = 5
@@ -356,7 +356,8 @@ def _blocks(df: DataFrame) -> DataFrame:
     """``df`` with a ``__block`` and a ``__row`` (a number in its file) that a row keeps
     however the table is read; what is not a scan of Parquet files is written first."""
     found = df if _is_scan(df) else staged(df, "documents")
-    return found.select("*", F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK)).alias("__block"), F.col("_metadata.row_index").alias("__row"))
+    block, row = (free_name(df, x) for x in ("__block", "__row"))
+    return found.select("*", F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK)).alias(block), F.col("_metadata.row_index").alias(row))
 
 
 def _distinct_grams(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -601,8 +602,10 @@ def keep_good(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_c
                 mark[lo:hi] = np.isin(row[lo:hi], rows)
             yield batch.filter(pa.array(mark)).select(list(range(n)))
 
-    return blocks.mapInArrow(run, df.schema)
+    # by place, since a name with a dot can't be passed on
+    placed = blocks.toDF(*(f"c{k}" for k in range(n + 2)))
+    return placed.mapInArrow(run, placed.select(*placed.columns[:n]).schema).toDF(*df.columns)
 
 
 def _blocks_as(blocks: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    return blocks.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), "__block", "__row")
+    return blocks.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(blocks.columns[-2]).alias("__block"), F.col(blocks.columns[-1]).alias("__row"))

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm._components import connected_components
-from corvane.llm._shared import slices, small_batches, staged, text_chunks
+from corvane.llm._shared import free_name, slices, small_batches, staged, text_chunks
 from corvane.llm._words import shingle_sets
 
 #: The counter table: 2**COUNTER_BITS counters, whatever the size of the input.
@@ -329,14 +329,15 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     nothing to compare stay; a row that is given twice, id and text, stays once."""
     with small_batches(df.sparkSession):
         rows, named = _components(_documents(df, id_col, text_col), width, percent)
+    own_id, own_th = free_name(df, "__id"), free_name(df, "__th")
     mine = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("th") == F.col("keep.th"))
-    lost = staged(_with_classes(rows.where("n > 0"), named, "inner").where(~mine).select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct(), "lost")
+    lost = staged(_with_classes(rows.where("n > 0"), named, "inner").where(~mine).select(F.col("id").alias(own_id), F.col("th").alias(own_th)).distinct(), "lost")
     small = F.broadcast(lost) if _small(lost, F.lit(32)) else lost.hint("shuffle_hash")
     text = F.col(text_col).cast("string")
-    gone = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th"))
+    gone = F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_th))
     out = df.join(small, gone, "left_anti")
     if rows.groupBy("id", "th").count().where("count > 1").limit(1).count():
-        out = out.withColumn("__th", F.xxhash64(text)).dropDuplicates([id_col, "__th"]).select(*(F.col(f"`{c}`") for c in df.columns))
+        out = out.withColumn(own_th, F.xxhash64(text)).dropDuplicates([id_col, own_th]).select(*(F.col(f"`{c}`") for c in df.columns))
     return out
 
 
