@@ -32,6 +32,25 @@ def messages(*turns: tuple[str, Column]) -> Column:
     return F.array(*(F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in turns))
 
 
+def question_request(text: Column, code: Column) -> Column:
+    """Asks for a question and its answer about a piece of code."""
+    return F.concat(
+        F.lit("Write one question that a reader of this code would ask, and answer it from the code and its documentation.\n\nDocumentation:\n"), text_or_empty(text),
+        F.lit("\n\nCode:\n"), text_or_empty(code), F.lit("\n\nReturn ONLY JSON: reasoning, question, answer."),
+    )
+
+
+def improve_request(code: Column, documentation: Column, question: Column, draft: Column) -> Column:
+    """Asks for a better answer than a draft."""
+    return F.concat(user_request(code, documentation, question, "Draft answer:"), F.lit("\n"), text_or_empty(draft), F.lit("\n\nImprove the draft: be correct, direct and short."))
+
+
+def predict_request(code: Column, documentation: Column, question: Column) -> Column:
+    """The request that predictions and rewards are made for."""
+    return user_request(code, documentation, question, "Answer:")
+
+
+#: Fixed value: a judgement, the label before the reason.
 LABELLED = r'(?s)\{\s*"label"\s*:\s*"(?:keep|borderline|reject)"\s*,\s*"reason"\s*:\s*".*?"\s*\}'
 
 
@@ -59,7 +78,7 @@ def parse_answer(raw: Column, schema: str = "reasoning string, question string,
     names = [f.split()[0] for f in schema.split(", ")]
 
     def read(text: Column) -> Column:
-        got = F.from_json(text, schema)
+        got = F.from_json(text, schema, {"allowSingleQuotes": "false"})
         return F.when(F.coalesce(*(got.getField(n) for n in names)).isNotNull(), got)
 
     return F.when(body != "", F.coalesce(read(body), read(F.replace(body, F.lit("\n"), F.lit(" ")))))

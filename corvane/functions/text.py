@@ -104,6 +104,7 @@ def repo_url(link: Column, marker: str = "github.com/") -> Column:
     return F.when(link.contains(marker) & (F.size(parts) >= 2) & (parts.getItem(0) != "") & (parts.getItem(1) != ""), F.concat(F.lit(f"https://{marker}"), parts.getItem(0), F.lit("/"), parts.getItem(1)))
 
 
+#: Fixed value: an item of a list page.
 ENTRY = r"^- \[([^\]]+)\]\(([^)]+)\)\s*-\s*(.+)$"
 
 
@@ -121,6 +122,7 @@ def clean_python_comment(c: Column) -> Column:
     return strip(F.regexp_replace(c, "^#+", ""))
 
 
+#: Fixed value: the head of a hunk, with its new-side lines.
 HUNK = r"@@ -\d+,\d+ \+(\d+),(\d+) @@"
 
 
@@ -162,6 +164,16 @@ def has_words(c: Column, n: int = 8) -> Column:
     return F.coalesce(F.size(F.filter(F.split(strip(c), rf"(?U){BLANK}+", -1), lambda x: x != "")) >= n, F.lit(False))
 
 
+def truncate_tokens(c: Column, n: int) -> Column:
+    """The first n tokens, a blank between them."""
+    return F.array_join(F.slice(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN), F.lit(0)), 1, n), " ")
+
+
+def about_tokens(c: Column) -> Column:
+    """A fourth of the length: a guess for logs."""
+    return F.floor(F.coalesce(F.length(c), F.lit(0)) / 4).cast("long")
+
+
 def enough_lines(code: Column) -> Column:
     return (F.length(code) - F.length(F.replace(code, F.lit("\n"), F.lit("")))) >= 2
 

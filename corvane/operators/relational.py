@@ -25,15 +25,18 @@ def dedup_pairs(df: DataFrame, order: Column, code: str = "code", text: str = "t
     one, else the first; ``first_ord`` is where the pair came up first."""
     w = Window.partitionBy("__c", "__t")
     best = w.orderBy((F.col(confidence) == "high").desc_nulls_last(), order)
-    out = df.withColumn("__c", strip(F.col(code))).withColumn("__t", strip(F.col(text)))
+    # texts are told apart by digests, so they are neither hashed again nor sorted by
+    out = df.withColumn("__c", F.sha2(strip(F.col(code)).cast("binary"), 256)).withColumn("__t", F.sha2(strip(F.col(text)).cast("binary"), 256))
     return out.withColumn("first_ord", F.min(order).over(w)).withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__c", "__t", "__n")
 
 
 def status_of(df: DataFrame, key: Column, accepted: DataFrame, order: Column) -> DataFrame:
     """accepted / rejected / duplicate / invalid for each candidate; accepted: (key)."""
-    keyed = df.withColumn("key", key).withColumn("__n", F.row_number().over(Window.partitionBy("key").orderBy(order)))
+    keyed = df.withColumn("key", key)
+    none = keyed.where("key is null").withColumn("status", F.lit("invalid"))
+    keyed = keyed.where("key is not null").withColumn("__n", F.row_number().over(Window.partitionBy("key").orderBy(order)))
     known = accepted.select(F.lower("key").alias("key")).distinct().withColumn("__a", F.lit(True))
-    return keyed.join(known, "key", "left").withColumn("status", F.when(F.col("key").isNull(), "invalid").when(F.col("__n") > 1, "duplicate").when(F.col("__a"), "accepted").otherwise("rejected")).drop("__n", "__a")
+    return none.unionByName(keyed.join(known, "key", "left").withColumn("status", F.when(F.col("__n") > 1, "duplicate").when(F.col("__a"), "accepted").otherwise("rejected")).drop("__n", "__a"))
 
 
 def top_per_group(df: DataFrame, group: str, n: int, *order: Column) -> DataFrame:
