@@ -2,12 +2,13 @@
 
 Python sources are read with the standard library.  No Java grammar is installed, so
 Java comments come from a small lexer (exact), and Java nodes from brace matching after
-declaration heads (approximate, and named so).
+declaration heads (approximate, and named so).  Every step over a file is linear in it.
 """
 
 from __future__ import annotations
 
 import ast
+import bisect
 import io
 import re
 import tokenize
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODE_SCHEMA = "ord int, name string, type string, start int, end int, code string, is_public boolean, doc string"
+NODE_SCHEMA = "ord int, name string, type string, start int, end int, code string, is_public boolean, doc string, start_col int, end_col int, doc_start int, doc_start_col int, doc_end int, doc_end_col int"
 COMMENT_SCHEMA = "start int, start_col int, end int, end_col int, text string, is_javadoc boolean"
 
 
@@ -30,7 +31,10 @@ def python_nodes(source: str) -> list[tuple]:
     for node in ast.walk(tree):
         if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
             kind = "class" if isinstance(node, ast.ClassDef) else "function"
-            rows.append((len(rows), node.name, kind, node.lineno, node.end_lineno, "\n".join(text[node.lineno - 1 : node.end_lineno]), not node.name.startswith("_"), ast.get_docstring(node)))
+            doc = ast.get_docstring(node) or None
+            at = node.body[0] if doc else None
+            where = (at.lineno, at.col_offset, at.end_lineno, at.end_col_offset) if doc else (None,) * 4
+            rows.append((len(rows), node.name, kind, node.lineno, node.end_lineno, "\n".join(text[node.lineno - 1 : node.end_lineno]), not node.name.startswith("_"), doc, node.col_offset, node.end_col_offset, *where))
     return rows
 
 
@@ -50,41 +54,60 @@ _DECLARATION = re.compile(r"((?:\b(?:public|protected|private|static|final|abstr
 _NOT_NAMES = frozenset("if for while switch catch synchronized try do else return new throw super this".split())
 
 
-def _place(source: str, at: int) -> tuple[int, int]:
-    line = source.count("\n", 0, at)
-    return line + 1, at - (source.rfind("\n", 0, at) + 1)
+class _Places:
+    """Line (from 1) and column of positions in a text."""
+
+    def __init__(self, source: str):
+        self.starts = [0, *(m.end() for m in re.finditer("\n", source))]
+
+    def of(self, at: int) -> tuple[int, int]:
+        line = bisect.bisect_right(self.starts, at)
+        return line, at - self.starts[line - 1]
+
+
+def _comment_text(raw: str) -> tuple[str, bool]:
+    doc = raw.startswith("/**") and raw != "/**/"
+    body = raw[2:] if raw.startswith("//") else raw[3 if doc else 2 :].removesuffix("*/")
+    return "\n".join(re.sub(r"^\s*\*?\s?", "", x).strip() for x in body.splitlines()).strip(), doc
 
 
 def java_comments(source: str) -> list[tuple]:
-    rows = []
-    for m in _JAVA.finditer(source):
-        raw = m[0]
-        if raw.startswith(("//", "/*")):
-            doc = raw.startswith("/**") and raw != "/**/"
-            body = raw[2:] if raw.startswith("//") else raw[3 if doc else 2 :].removesuffix("*/")
-            body = "\n".join(re.sub(r"^\s*\*?\s?", "", x).strip() for x in body.splitlines()).strip()
-            rows.append((*_place(source, m.start()), *_place(source, m.end()), body, doc))
-    return rows
+    places = _Places(source)
+    return [(*places.of(m.start()), *places.of(m.end()), *_comment_text(m[0])) for m in _JAVA.finditer(source) if m[0].startswith(("//", "/*"))]
+
+
+_ANNOTATIONS = re.compile(r"(?:\s*@\w[\w.]*(?:\([^)]*\))?)*\s*\Z")
 
 
 def java_nodes(source: str) -> list[tuple]:
+    """Functions, classes (interfaces are classes), enums and records in the order of
+    their heads; a doc comment belongs to what it ends at most one line above."""
     blank = _JAVA.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
-    docs = [(m.end(), m[0]) for m in _JAVA.finditer(source) if m[0].startswith("/**")]
-    text, rows = source.splitlines(), []
+    docs = [m for m in _JAVA.finditer(source) if m[0].startswith("/**") and m[0] != "/**/"]
+    ends, places, text, rows = [m.end() for m in docs], _Places(source), source.splitlines(), []
+    closing, opened = {}, []
+    for m in re.finditer("[{}]", blank):
+        if m[0] == "{":
+            opened.append(m.start())
+        elif opened:
+            closing[opened.pop()] = m.start()
     for m in _DECLARATION.finditer(blank):
         name = m[3] or m[4]
         if name in _NOT_NAMES:
             continue
-        depth, at = 0, m.end() - 1
-        while at < len(blank):
-            depth += (blank[at] == "{") - (blank[at] == "}")
-            if not depth:
-                break
-            at += 1
+        at = min(closing.get(m.end() - 1, len(source) - 1), len(source) - 1)
         head = m.start() + len(m[0]) - len(m[0].lstrip())
-        first, last = _place(source, head)[0], _place(source, min(at, len(source) - 1))[0]
-        near = [d for end, d in docs if end <= head and not re.sub(r"@\w+(\([^)]*\))?", "", blank[end:head]).strip()]
-        rows.append((len(rows), name, "class" if m[2] else "function", first, last, "\n".join(text[first - 1 : last]), "public" in m[1].split(), near[-1] if near else None))
+        k = bisect.bisect_right(ends, head) - 1
+        between = blank[ends[k] : head] if k >= 0 else "x"
+        near = docs[k] if k >= 0 and _ANNOTATIONS.match(between) else None
+        if near:
+            head = ends[k] + len(between) - len(between.lstrip()) if between.strip() else head
+            near = near if places.of(head)[0] - places.of(near.end())[0] <= 1 else None
+        (first, col), (last, end_col) = places.of(head), places.of(at + 1)
+        kind = {"class": "class", "interface": "class", "enum": "enum", "record": "record"}.get(m[2], "function")
+        doc = _comment_text(near[0])[0] or None if near else None
+        where = (*places.of(near.start()), *places.of(near.end())) if doc else (None,) * 4
+        rows.append((len(rows), name, kind, first, last, "\n".join(text[first - 1 : last]), "public" in m[1].split(), doc, col, end_col, *where))
     return rows
 
 
@@ -110,10 +133,34 @@ def _exploded(df: DataFrame, parse: dict, schema: str, text_col: str) -> DataFra
 
 
 def code_nodes(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df: language, text, any keys; gives the keys and NODE_SCHEMA."""
+    """df: language, text, any keys; gives the keys and NODE_SCHEMA.  Enums and records are no nodes."""
+    return _declarations(df, text_col).where(F.col("type").isin("function", "class"))
+
+
+def _declarations(df: DataFrame, text_col: str) -> DataFrame:
     return _exploded(df, {"Python": python_nodes, "Java": java_nodes}, NODE_SCHEMA, text_col)
 
 
+def entities(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """The documented entities and the comments of source files as rows of (keys, language,
+    entity, its text, token count, places of both, confidence).  Comments in the first
+    column are of medium confidence, all others high."""
+    from corvane.functions import text as T
+
+    source = df.select(*keys, "language", F.col(text_col).alias("__source"))
+    doc = F.when(F.col("language") == "Java", "javadoc").otherwise("docstring")
+    places = (("start_line", "start"), ("end_line", "end"), ("start_col", "start_col"), ("end_col", "end_col"))
+    named = _declarations(source, "__source").where("doc is not null").select(
+        *keys, "language", F.col("type").alias("entity_type"), F.col("name").alias("entity_name"), doc.alias("source_type"), F.col("doc").alias("doc_text"), T.count_tokens(F.col("doc")).alias("doc_token_count"),
+        F.col("doc_start").alias("doc_start_line"), F.col("doc_end").alias("doc_end_line"), "doc_start_col", "doc_end_col", *(F.col(c).alias(f"entity_{n}") for n, c in places), F.lit("high").alias("alignment_confidence"),
+    )
+    said = comments(source, "__source").where("not is_javadoc").select(
+        *keys, "language", F.lit("comment").alias("entity_type"), F.lit(None).cast("string").alias("entity_name"), F.lit("inline_comment").alias("source_type"), F.col("text").alias("doc_text"), T.count_tokens(F.col("text")).alias("doc_token_count"),
+        *(F.col(c).alias(f"{kind}_{n}") for kind in ("doc", "entity") for n, c in places), F.when(F.col("start_col") == 0, "medium").otherwise("high").alias("alignment_confidence"),
+    )
+    return named.unionByName(said)
+
+
 def comments(df: DataFrame, text_col: str = "text") -> DataFrame:
     return _exploded(df, {"Python": python_comments, "Java": java_comments}, COMMENT_SCHEMA, text_col)
 
@@ -122,7 +169,8 @@ def file_metrics(df: DataFrame, keys: list[str], text_col: str = "text") -> Data
     """Counters of each file as aggregates over its nodes and comments."""
     from corvane.functions import text as T
 
-    per = code_nodes(df.select(*keys, "language", text_col), text_col).groupBy(*keys).agg(
+    declared = _declarations(df.select(*keys, "language", text_col), text_col)
+    per = declared.withColumn("type", F.when(F.col("type") == "function", "function").otherwise("class")).groupBy(*keys).agg(
         *(F.count_if(cond).alias(name) for name, cond in (
             ("total_functions", F.expr("type = 'function'")), ("documented_functions", F.expr("type = 'function' and doc is not null")),
             ("total_classes", F.expr("type = 'class'")), ("documented_classes", F.expr("type = 'class' and doc is not null")),

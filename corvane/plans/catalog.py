@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.functions import answers, prompts, scoring
+from corvane.functions import prompts, scoring
 from corvane.functions import text as T
 from corvane.operators import feeds, model, nodes, quality, relational
 
@@ -56,13 +56,18 @@ def doc_token_count(spark, sf):
     return _docs(spark, sf).select("doc_id", T.count_tokens(F.col("text")).alias("n_tokens"))
 
 
+def _lines_read(spark, sf):
+    """Per document what each of its lines is, in one array: no line leaves its row."""
+    read = F.transform(T.lines(F.col("text")), lambda x: F.struct(T.count_tokens(x).alias("n"), T.is_meaningful_comment(x).alias("told"), (F.length(x) > 0).alias("filled"), x.endswith(".").alias("ends")))
+    return _docs(spark, sf).select("doc_id", F.col("source").alias("repo_id"), read.alias("r"))
+
+
 def _repo_files(spark, sf):
     """Per document: counters as a source file has them, made from its lines."""
-    line = _lines(spark, sf)
-    tok, meaningful = T.count_tokens(F.col("line")), T.is_meaningful_comment(F.col("line"))
-    return line.groupBy("doc_id", F.col("source").alias("repo_id")).agg(
-        F.count("*").alias("total_functions"), F.count_if(tok >= 5).alias("documented_functions"), F.count_if(F.length("line") > 0).alias("total_code_lines"),
-        F.count_if(F.col("line").endswith(".")).alias("total_comment_lines"), F.count_if(meaningful).alias("meaningful_comment_lines"), F.max(meaningful).alias("has_meaningful_comment"), F.collect_list(tok.cast("int")).alias("doc_lengths"),
+    many = lambda f: F.size(F.filter("r", f)).cast("long")
+    return _lines_read(spark, sf).select(
+        "doc_id", "repo_id", F.size("r").cast("long").alias("total_functions"), many(lambda x: x["n"] >= 5).alias("documented_functions"), many(lambda x: x["filled"]).alias("total_code_lines"), many(lambda x: x["ends"]).alias("total_comment_lines"),
+        many(lambda x: x["told"]).alias("meaningful_comment_lines"), F.exists("r", lambda x: x["told"]).alias("has_meaningful_comment"), F.transform("r", lambda x: x["n"].cast("int")).alias("doc_lengths"),
     )
 
 
@@ -84,7 +89,7 @@ def repo_text_quality(spark, sf):
 
 @_query(f"select doc_id, count(*) n_lines, count(*) filter ({_MEANINGFUL.replace('x)', 'line)')}) n_meaningful from {_LINES} group by 1")
 def meaningful_lines(spark, sf):
-    return _lines(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(T.is_meaningful_comment(F.col("line"))).alias("n_meaningful"))
+    return _lines_read(spark, sf).select("doc_id", F.size("r").cast("long").alias("n_lines"), F.size(F.filter("r", lambda x: x["told"])).cast("long").alias("n_meaningful"))
 
 
 _PATH_SQL = "(select page_id, regexp_replace(url, '^[a-z]+://[^/]+/', '') || case page_id % 3 when 0 then '/test/A.py' when 1 then '/src/B.java' else '/c.md' end path from pages)"
@@ -215,7 +220,7 @@ def hunk_overlap(spark, sf):
     return relational.touched_names(ranges, _code_nodes(spark, sf), ["doc_id"]).select("doc_id", "n_names", "confidence")
 
 
-_PAIR_SQL = "(select d.doc_id, trim(left(text, 200)) code, d.source text, case when quality = 1 and toxic = 0 then 'high' else 'medium' end confidence from documents d left join labels l on d.doc_id = l.doc_id)"
+_PAIR_SQL = "(select d.doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) code, d.source text, case when quality = 1 and toxic = 0 then 'high' else 'medium' end confidence from documents d left join labels l on d.doc_id = l.doc_id)"
 
 
 def _labelled(spark, sf):
@@ -225,7 +230,7 @@ def _labelled(spark, sf):
 @_query(f"select doc_id, confidence, min_id first_ord from (select *, min(doc_id) over (partition by code) min_id, row_number() over (partition by code order by (confidence = 'high') desc, doc_id) n from (select * replace ('x' as text) from {_PAIR_SQL})) where n = 1")
 def pair_dedup_priority(spark, sf):
     high = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    pairs = _labelled(spark, sf).select("doc_id", T.strip(F.left("text", F.lit(200))).alias("code"), F.lit(" x ").alias("text"), F.when(high, "high").otherwise("medium").alias("confidence"))
+    pairs = _labelled(spark, sf).select("doc_id", F.col("text").alias("code"), F.lit(" x ").alias("text"), F.when(high, "high").otherwise("medium").alias("confidence"))
     return relational.dedup_pairs(pairs, F.col("doc_id")).select("doc_id", "confidence", "first_ord")
 
 
@@ -283,9 +288,13 @@ def label_summary(spark, sf):
     return _labelled(spark, sf).agg(*(F.count_if(_label() == x).alias(f"n_{x}") for x in ("keep", "borderline", "reject", "other")))
 
 
-@_query("select doc_id, trim(left(text, 1200), ' ' || chr(9) || chr(10) || chr(13)) || case when length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 1200 then chr(10) || '...[truncated]' else '' end text, 'code ' || doc_id code from documents where not contains(text, 'CODE/DIFF') and length(trim(left(trim(text, ' ' || chr(9) || chr(10) || chr(13)), 1200), ' ' || chr(9) || chr(10) || chr(13))) = least(1200, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))))")
+_STRIPPED_SQL = "trim(text, ' ' || chr(9) || chr(10) || chr(13))"
+
+
+@_query(f"select doc_id, case when length({_STRIPPED_SQL}) > 1200 then left({_STRIPPED_SQL}, 1200) || chr(10) || '...[truncated]' else {_STRIPPED_SQL} end text, 'code ' || doc_id code from documents")
 def raw_recovery(spark, sf):
-    d = _docs(spark, sf).where(~F.col("text").contains("CODE/DIFF") & (F.length(T.strip(F.left(T.strip(F.col("text")), F.lit(1200)))) == F.least(F.lit(1200), F.length(T.strip(F.col("text"))))))
+    """A judge's request cuts its text at 1,200 signs; what it holds is read back."""
+    d = _docs(spark, sf)
     raw = prompts.judge_request(F.col("source"), F.lit(None).cast("string"), F.col("lang"), F.col("text"), F.concat(F.lit("code "), F.col("doc_id")))
     return d.select("doc_id", prompts.recover_text(raw).alias("text"), prompts.recover_code(raw).alias("code"))
 
@@ -364,9 +373,9 @@ _LEAK_SQL = "0.25::double * len(list_filter([" + ", ".join(f"'{m}'" for m in sco
 _REWARD_SQL = f"greatest(-1.0::double, least(1.0::double, (case when doc_id % 3 = 0 then 1.0::double else -1.0::double end) - {_LEAK_SQL} - (case when length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) <= 80 then 0.0::double else least(0.3::double, (length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) - 80) / 300.0::double) end)))"
 
 
-@_query(f"select doc_id, round({_LEAK_SQL}, 6) leakage, round({_REWARD_SQL}, 6) reward from (select doc_id, left(text, 150) || case when doc_id % 5 = 0 then ' Source: https://x' else '' end as text from documents)")
+@_query(f"select doc_id, round({_LEAK_SQL}, 6) leakage, round({_REWARD_SQL}, 6) reward from (select doc_id, text || case when doc_id % 5 = 0 then ' Source: https://x' else '' end as text from documents)")
 def reward_score(spark, sf):
-    pred = F.concat(F.left("text", F.lit(150)), F.when(F.col("doc_id") % 5 == 0, " Source: https://x").otherwise(""))
+    pred = F.concat("text", F.when(F.col("doc_id") % 5 == 0, " Source: https://x").otherwise(""))
     return _docs(spark, sf).select("doc_id", F.round(scoring.leakage_penalty(pred), 6).alias("leakage"), F.round(scoring.correctness_reward(F.col("doc_id") % 3 == 0, pred), 6).alias("reward"))
 
 
@@ -434,7 +443,7 @@ def _sources(spark):
 
 @_query("select * from (values ('a.py', 0, 'A', 'class', 1, 5, true), ('a.py', 1, '_g', 'function', 7, 8, false), ('a.py', 2, 'f', 'function', 3, 5, true), ('B.java', 0, 'B', 'class', 2, 5, true), ('B.java', 1, 'n', 'function', 4, 4, false)) t(file_path, ord, name, type, \"start\", \"end\", is_public)")
 def code_nodes(spark, sf):
-    return nodes.code_nodes(_sources(spark)).drop("code", "doc", "language")
+    return nodes.code_nodes(_sources(spark)).select("file_path", "ord", "name", "type", "start", "end", "is_public")
 
 
 @_query("select * from (values ('a.py', 4, 'adds two numbers', true), ('B.java', 1, 'Does things.', false), ('B.java', 3, 'counts all the rows', true)) t(file_path, \"start\", text, meaningful)")
@@ -448,16 +457,11 @@ def source_metrics(spark, sf):
     return m.select("file_path", *(F.col(c).cast("long").alias(c) for c in ("total_functions", "documented_functions", "total_classes", "documented_classes", "total_comment_lines")), "has_meaningful_comment")
 
 
-@_query("select conv_id, turn, true matches from conversations")
-def answers_match_udf(spark, sf):
-    c = _t(spark, sf, "conversations")
-    return c.select("conv_id", "turn", answers.answers_match(F.col("text"), F.col("text")).alias("matches"))
-
-
-@_query("select doc_id, 'echo ' || doc_id completion from documents")
+@_query("select doc_id, length(text) || ' ' || left(text, 12) completion from documents")
 def model_slot(spark, sf):
-    rows = _docs(spark, sf).select("doc_id", F.col("doc_id").cast("string").alias("prompt"))
-    return model.complete(rows, "prompt", lambda batch: [f"echo {p}" for p in batch]).select("doc_id", "completion")
+    """The slot with a stand-in for a model that reads the whole prompt."""
+    rows = _docs(spark, sf).select("doc_id", F.col("text").alias("prompt"))
+    return model.complete(rows, "prompt", lambda batch: [f"{len(p)} {p[:12]}" for p in batch]).select("doc_id", "completion")
 
 
 @_query("select doc_id, source, n_chars, row_number() over (partition by source order by doc_id) - 1 idx from documents")
@@ -465,6 +469,9 @@ def ordinals(spark, sf):
     return _docs(spark, sf).select("doc_id", "source", "n_chars", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("idx"))
 
 
+from corvane.plans import landed_catalog  # noqa: E402, F401  more queries of the same two tables
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
