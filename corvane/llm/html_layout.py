@@ -4,17 +4,19 @@ The builder knows void and raw-text elements, implied end tags (p, li, dt, dd, o
 table parts) and closes what an end tag leaves open.  Hidden are head, script, style,
 template, noscript and the like, ``hidden`` attributes, ``display:none``, hidden
 inputs, closed details (but their summary), and ``visibility:hidden`` until a
-descendant is visible again.  The renderer keeps block spacing (paragraphs and
+descendant is visible again, also in preformatted text.  The text of options, formulas
+and drawings is shown.  The renderer keeps block spacing (paragraphs and
 headings apart by a blank line, other blocks by a line break), preformatted text, list
 markers with indentation, and tables with aligned columns.
 
 Defined results: null or empty pages give an empty text; text outside any tag is kept;
-broken markup never fails; repeated pages are rendered row by row; an empty table gives
+broken markup never fails; tables nested more than ``DEEPEST`` deep come as blocks; repeated pages are rendered row by row; an empty table gives
 an empty table; extra columns are not carried.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from html import unescape
 
@@ -26,7 +28,7 @@ from corvane.llm._shared import slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title noscript plaintext".split())
-HIDDEN = frozenset("head script style template noscript noembed noframes iframe title datalist object audio video canvas svg math select".split())
+HIDDEN = frozenset("head script style template noscript noembed noframes iframe title datalist object audio video canvas".split())
 #: Blocks with a blank line around them, and blocks with a line break only.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset".split())
 BLOCKS = SPACED | frozenset("html body div article section nav header footer main aside address form li dt dd tr caption details summary figcaption legend center menu dir hgroup search dialog optgroup option".split())
@@ -242,8 +244,12 @@ def _visible(node: Node, shown: bool) -> tuple[bool, bool]:
     return True, shown
 
 
-def _span(value: str | None) -> int:
-    return min(int(value), 100) if value and value.isascii() and value.isdigit() and int(value) > 0 else 1
+#: Fixed values of the HTML standard: the most columns and rows that a cell spans.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+
+
+def _span(value: str | None, most: int) -> int:
+    return min(int(value), most) if value and value.isascii() and value.isdigit() and 0 < len(value.lstrip("0")) < 10 else 1
 
 
 def _rows_of(table: Node) -> tuple[list[Node], list]:
@@ -259,8 +265,8 @@ def _rows_of(table: Node) -> tuple[list[Node], list]:
     return rows, rest
 
 
-#: Columns wider than this are not padded; tables nested deeper are laid out as blocks.
-WIDEST, DEEPEST = 40, 8
+#: Tables nested deeper are laid out as blocks, since a row in a row is laid out again at each level.
+DEEPEST = 64
 
 
 def _table(table: Node, out: _Out, shown: bool, depth: int) -> None:
@@ -268,17 +274,17 @@ def _table(table: Node, out: _Out, shown: bool, depth: int) -> None:
     for kid in rest:  # captions, and what should not be here
         _render([kid], out, shown, depth)
         out.brk(1)
-    grid: list[dict[int, list[str]]] = []
+    grid: list[dict[int, tuple[list[str], int]]] = []  # column to lines and columns spanned
     held: dict[int, int] = {}
     for tr in rows:
         laid, row_shown = _visible(tr, shown)
         if not laid:
             continue
-        cells, col = {}, 0
+        cells, col, loose = {}, 0, []  # loose: text that stands in the row, not in a cell
         for kid in tr.kids:
             if isinstance(kid, str):
-                if kid.strip():
-                    cells.setdefault(col, []).append(" ".join(unescape(kid).split()))
+                if row_shown and kid.strip():
+                    loose.append(" ".join(unescape(kid).split()))
                 continue
             laid, _ = _visible(kid, row_shown)
             if not laid:
@@ -289,31 +295,47 @@ def _table(table: Node, out: _Out, shown: bool, depth: int) -> None:
             inner = _Out()
             _render([kid] if kid.tag not in ("td", "th") else kid.kids, inner, _visible(kid, row_shown)[1], depth + 1)
             inner.flush()
-            cells[col] = [x for x in inner.lines if x]
-            width = _span(kid.attrs.get("colspan"))
-            down = _span(kid.attrs.get("rowspan"))
-            for k in range(col, col + width):
-                if down > 1:
+            width = _span(kid.attrs.get("colspan"), MOST_COLUMNS)
+            down = _span(kid.attrs.get("rowspan"), MOST_ROWS)
+            cells[col] = loose + [x for x in inner.lines if x], width
+            loose = []
+            if down > 1:
+                for k in range(col, col + width):
                     held[k] = down - 1
             col += width
+        if loose:
+            cells[col] = loose, 1
         for k in [k for k in held if k >= col and held[k] > 0]:
             held[k] -= 1
-        if any(cells.values()):
+        if any(lines for lines, _ in cells.values()):
             grid.append(cells)
-    widths: dict[int, int] = {}
-    for cells in grid:
-        for c, lines in cells.items():
-            for x in lines:
-                if len(x) <= WIDEST:
-                    widths[c] = max(widths.get(c, 0), len(x))
+    # a column is as wide as its widest cell; a cell over several columns widens the last of them only
     columns = sorted({c for cells in grid for c in cells})
+    widths = dict.fromkeys(columns, 0)
+    for cells in grid:
+        for c, (lines, span) in cells.items():
+            if span == 1:
+                widths[c] = max(widths[c], *map(len, lines), 0)
+    for cells in grid:
+        for c, (lines, span) in cells.items():
+            if span > 1 and lines:
+                own = columns[bisect.bisect_left(columns, c) : bisect.bisect_left(columns, c + span)]
+                lack = max(map(len, lines)) - sum(widths[x] for x in own) - 2 * (len(own) - 1)
+                if lack > 0 and own[-1] != columns[-1]:
+                    widths[own[-1]] += lack
     for cells in grid:
-        for k in range(max(len(x) for x in cells.values())):
-            parts = [(lines[k] if k < len(lines := cells.get(c, [])) else "").ljust(widths.get(c, 0)) for c in columns]
+        for k in range(max(len(lines) for lines, _ in cells.values())):
+            line, c = [], 0
+            while c < len(columns):
+                lines, span = cells.get(columns[c], ([], 1))
+                upto = c + 1 if span == 1 else max(c + 1, bisect.bisect_left(columns, columns[c] + span))
+                room = sum(widths[x] for x in columns[c:upto]) + 2 * (upto - c - 1)
+                line.append((lines[k] if k < len(lines) else "").ljust(room))
+                c = upto
             out.brk(1)
-            line = "  ".join(parts).rstrip()
-            if line:
-                out.line.append(line)
+            text = "  ".join(line).rstrip()
+            if text:
+                out.line.append(text)
             out.flush()
 
 
@@ -354,16 +376,19 @@ def _render(kids: list, out: _Out, shown: bool = True, depth: int = 0) -> None:
             continue
         if tag in ("pre", "textarea", "xmp", "plaintext"):
             out.brk(2)
-            if seen:
-                parts, deep = [], [kid]
-                while deep:
-                    x = deep.pop()
-                    if isinstance(x, str):
+            parts, deep = [], [(kid, shown)]
+            while deep:
+                x, bare = deep.pop()
+                if isinstance(x, str):
+                    if bare:
                         parts.append(unescape(x))
-                    elif _visible(x, True)[0]:
-                        if x.tag == "br":
-                            parts.append("\n")
-                        deep.extend(reversed(x.kids))
+                    continue
+                laid, bare = _visible(x, bare)
+                if laid:
+                    if x.tag == "br":
+                        parts.append("\n")
+                    deep.extend((y, bare) for y in reversed(x.kids))
+            if parts:
                 out.rows("".join(parts).replace("\r\n", "\n").expandtabs(4).strip("\n").split("\n"))
             out.brk(2)
             continue
