@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -74,10 +75,11 @@ def markdown_entries(pages: DataFrame, text_col: str = "value", marker: str = "g
     return out.where((F.col("name") != "") & F.contains(F.lower("link"), F.lit(marker)))
 
 
-def archive_texts(spark: SparkSession, path: str, needed: DataFrame | None = None, most_bytes: int = 1 << 26) -> DataFrame:
+def archive_texts(spark: SparkSession, path: str, needed: DataFrame | None = None) -> DataFrame:
     """(archive, file_path, text) of ZIP archives: the first path segment is dropped and
     bytes are decoded with replacement.  ``needed`` (archive, file_path) prunes members
-    after the listing and before any text leaves the task's reader."""
+    after they are read; members of any size are read, those that are damaged or locked
+    are left out."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content")
 
     def members(batches):
@@ -89,8 +91,11 @@ def archive_texts(spark: SparkSession, path: str, needed: DataFrame | None = Non
                     continue
                 for info in bundle.infolist():
                     inner = info.filename.partition("/")[2]
-                    if inner and not info.is_dir() and info.file_size <= most_bytes:
-                        text = bundle.read(info).decode("utf-8", "replace")
+                    if inner and not info.is_dir():
+                        try:
+                            text = bundle.read(info).decode("utf-8", "replace")
+                        except (zipfile.BadZipFile, RuntimeError, NotImplementedError, zlib.error):
+                            continue
                         yield pa.RecordBatch.from_pydict({"archive": [name], "file_path": [inner], "text": [text]})
 
     out = files.mapInArrow(members, "archive string, file_path string, text string")

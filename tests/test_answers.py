@@ -35,3 +35,18 @@ def test_java_declarations_are_linear_and_whole():
     rng = random.Random(1)
     big = "class X {\n" + "".join(f"/** d{k} */\nint f{k}() {{ return {rng.random()}; }}\n" for k in range(4000)) + "}\n"
     assert len(nodes.java_nodes(big)) == 4001 and len(nodes.java_comments(big)) == 4000
+
+
+def test_damaged_members_are_left_out(spark, tmp_path):
+    import zipfile
+
+    from corvane.sources import readers
+
+    path = tmp_path / "r.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("repo/a.py", "A" * 100)
+        z.writestr("repo/b.py", "whole")
+    raw = path.read_bytes()
+    path.write_bytes(raw.replace(b"A" * 100, b"A" * 99 + b"B"))
+    rows = readers.archive_texts(spark, str(path)).collect()
+    assert [(r["file_path"], r["text"]) for r in rows] == [("b.py", "whole")]
