@@ -112,6 +112,21 @@ def test_token_files_edges(spark):
     assert token_files.read_token_files(spark, []).count() == 0
 
 
+def test_token_files_hot_ids_over_parts(spark, monkeypatch):
+    """Null ids and one id hold a third of the rows each: they are cut over parts, and read back in small ranges."""
+    monkeypatch.setattr(token_files, "READ_IDS", 50)
+    ids = [None] * 60 + [7] * 60 + list(range(-30, 30))
+    texts = [f"text {i} " * (i % 9) for i in range(180)]
+    manifest = token_files.write_token_files(frame(spark, texts, ids), BYTE_BPE, shared_path(spark, "hot"), parts=12)
+    assert sum(m["n_docs"] for m in manifest) == 180 and len(manifest) >= 9
+    assert max(m["n_docs"] for m in manifest) < 60
+    rows = sorted(token_files.read_token_files(spark, manifest).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert [r["start"] for r in rows] == np.cumsum([0] + [r["n_tokens"] for r in rows])[:-1].tolist()
+    want = sorted((-1000 if i is None else i, [*x, 0]) for i, x in zip(ids, library_ids(texts), strict=True))
+    assert sorted((-1000 if r["doc_id"] is None else r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in rows) == want
+
+
 def test_op10_whole_table(spark, sf_dir):
     rows = documents(spark, sf_dir)
     got = {r["doc_id"]: r for r in queries.op10_token_counts(spark, sf_dir).collect()}
