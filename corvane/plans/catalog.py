@@ -469,7 +469,7 @@ def ordinals(spark, sf):
     return _docs(spark, sf).select("doc_id", "source", "n_chars", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("idx"))
 
 
-from corvane.plans import landed_catalog  # noqa: E402, F401  more queries of the same two tables
+from corvane.plans import io_catalog, landed_catalog  # noqa: E402, F401  more queries of the same two tables
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
