@@ -66,7 +66,7 @@ class LineRuns:
         before = self.rows()
         if before is not None:
             known = before.where("keep is not null").select(*KEY, F.lit(True).alias("known"))
-            batch = batch.join(known, KEY, "left").withColumn("keep", F.expr("if(known, null, keep)"))
+            batch = batch.join(known.hint("merge"), KEY, "left").withColumn("keep", F.expr("if(known, null, keep)"))
         self._write(batch, 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
@@ -119,11 +119,12 @@ def _deduped(df: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs
         runs.add(pairs.where(F.col("batch") == b).groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("id").alias("keep")))
     frequent = staged(runs.frequent(min_docs), "frequent_lines")
 
-    # a line may be in a third of all documents: both sides are salted by document
+    # a line may be in a third of all documents: both sides are salted by document; frequent
+    # lines grow with the input, so they are merged at every size and never broadcast
     salted = frequent.select(*KEY, "keep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     lost = (
         pairs.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int"))
-        .join(salted, [*KEY, "salt"])
+        .join(salted.hint("merge"), [*KEY, "salt"])
         .where("id <> keep")
         .groupBy("id")
         .agg(F.collect_list(F.struct("h1", "h2")).alias("lost"))
