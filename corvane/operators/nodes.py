@@ -1,14 +1,14 @@
 """Source files to rows: nodes, documented entities and comments.
 
-Python sources are read with the standard library.  No Java grammar is installed, so
-Java comments come from a small lexer (exact), and Java nodes from brace matching after
-declaration heads (approximate, and named so).  Every step over a file is linear in it.
+Python sources are read with the standard library, Java sources with ``java_tree``, a
+recursive descent over declarations, since no Java grammar is installed.  Every step over a
+file is linear in it.  ``kind`` tells apart what ``type`` does not: constructors, interfaces
+and class literals.
 """
 
 from __future__ import annotations
 
 import ast
-import bisect
 import io
 import re
 import tokenize
@@ -17,7 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODE_SCHEMA = "ord int, name string, type string, start int, end int, code string, is_public boolean, doc string, start_col int, end_col int, doc_start int, doc_start_col int, doc_end int, doc_end_col int"
+from corvane.operators import java_tree as jt
+
+NODE_SCHEMA = "ord int, name string, type string, start int, end int, code string, is_public boolean, doc string, start_col int, end_col int, doc_start int, doc_start_col int, doc_end int, doc_end_col int, kind string"
+TREE_SCHEMA = "ord int, parent int, before int, kind string, name string, modifiers string, start int, start_col int, end int, end_col int, text string"
 COMMENT_SCHEMA = "start int, start_col int, end int, end_col int, text string, is_javadoc boolean"
 
 
@@ -34,7 +37,7 @@ def python_nodes(source: str) -> list[tuple]:
             doc = ast.get_docstring(node) or None
             at = node.body[0] if doc else None
             where = (at.lineno, at.col_offset, at.end_lineno, at.end_col_offset) if doc else (None,) * 4
-            rows.append((len(rows), node.name, kind, node.lineno, node.end_lineno, "\n".join(text[node.lineno - 1 : node.end_lineno]), not node.name.startswith("_"), doc, node.col_offset, node.end_col_offset, *where))
+            rows.append((len(rows), node.name, kind, node.lineno, node.end_lineno, "\n".join(text[node.lineno - 1 : node.end_lineno]), not node.name.startswith("_"), doc, node.col_offset, node.end_col_offset, *where, kind))
     return rows
 
 
@@ -49,68 +52,45 @@ def python_comments(source: str) -> list[tuple]:
     return rows
 
 
-_JAVA = re.compile(r'"""(?:\\.|[^\\])*?"""|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|//[^\n]*|/\*.*?(?:\*/|\Z)', re.S)
-_DECLARATION = re.compile(r"((?:\b(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp|sealed)\s+)*)(?:\b(class|interface|enum|record)\s+(\w+)[^;{}]*|(?:<[^<>]*>\s*)?(?:[\w.]+(?:<[^;{}()]*>)?(?:\[\])*\s+)?\b(\w+)\s*\([^;{}()]*\)\s*(?:throws\s+[\w.,\s]+)?)\{")
-_NOT_NAMES = frozenset("if for while switch catch synchronized try do else return new throw super this".split())
-
-
-class _Places:
-    """Line (from 1) and column of positions in a text."""
-
-    def __init__(self, source: str):
-        self.starts = [0, *(m.end() for m in re.finditer("\n", source))]
-
-    def of(self, at: int) -> tuple[int, int]:
-        line = bisect.bisect_right(self.starts, at)
-        return line, at - self.starts[line - 1]
+#: The type of a Java node, where it has one; and its entity type, where that differs.
+_TYPES = {jt.METHOD: "function", jt.CONSTRUCTOR: "function", "class_declaration": "class", "interface_declaration": "class", "enum_declaration": "enum", "record_declaration": "record", jt.LITERAL: "class_literal"}
+_KINDS = {jt.CONSTRUCTOR: "constructor", "interface_declaration": "interface"}
 
 
 def _comment_text(raw: str) -> tuple[str, bool]:
-    doc = raw.startswith("/**") and raw != "/**/"
-    body = raw[2:] if raw.startswith("//") else raw[3 if doc else 2 :].removesuffix("*/")
-    return "\n".join(re.sub(r"^\s*\*?\s?", "", x).strip() for x in body.splitlines()).strip(), doc
+    doc = raw.startswith("/**")
+    body = raw[2:] if raw.startswith("//") else raw[3 if doc else 2 :]
+    return "\n".join(re.sub(r"^\s*\*?\s?", "", x).strip() for x in body.strip().removesuffix("*/").splitlines()).strip(), doc
 
 
 def java_comments(source: str) -> list[tuple]:
-    places = _Places(source)
-    return [(*places.of(m.start()), *places.of(m.end()), *_comment_text(m[0])) for m in _JAVA.finditer(source) if m[0].startswith(("//", "/*"))]
-
-
-_ANNOTATIONS = re.compile(r"(?:\s*@\w[\w.]*(?:\([^)]*\))?)*\s*\Z")
+    places = jt.Places(source)
+    return [(*places.of(n.start), *places.of(n.end), *_comment_text(source[n.start : n.end])) for n in jt.java_tree(source) if n.kind in jt.COMMENTS]
 
 
 def java_nodes(source: str) -> list[tuple]:
-    """Functions, classes (interfaces are classes), enums and records in the order of
-    their heads; a doc comment belongs to what it ends at most one line above."""
-    blank = _JAVA.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
-    docs = [m for m in _JAVA.finditer(source) if m[0].startswith("/**") and m[0] != "/**/"]
-    ends, places, text, rows = [m.end() for m in docs], _Places(source), source.splitlines(), []
-    closing, opened = {}, []
-    for m in re.finditer("[{}]", blank):
-        if m[0] == "{":
-            opened.append(m.start())
-        elif opened:
-            closing[opened.pop()] = m.start()
-    for m in _DECLARATION.finditer(blank):
-        name = m[3] or m[4]
-        if name in _NOT_NAMES:
+    """Methods with and without bodies, constructors, classes, interfaces, enums, records and
+    class literals in walk order; a doc comment belongs to the declaration right after it."""
+    places, text, rows = jt.Places(source), source.splitlines(), []
+    for node in jt.java_tree(source):
+        kind = _TYPES.get(node.kind)
+        if not kind:
             continue
-        at = min(closing.get(m.end() - 1, len(source) - 1), len(source) - 1)
-        head = m.start() + len(m[0]) - len(m[0].lstrip())
-        k = bisect.bisect_right(ends, head) - 1
-        between = blank[ends[k] : head] if k >= 0 else "x"
-        near = docs[k] if k >= 0 and _ANNOTATIONS.match(between) else None
-        if near:
-            head = ends[k] + len(between) - len(between.lstrip()) if between.strip() else head
-            near = near if places.of(head)[0] - places.of(near.end())[0] <= 1 else None
-        (first, col), (last, end_col) = places.of(head), places.of(at + 1)
-        kind = {"class": "class", "interface": "class", "enum": "enum", "record": "record"}.get(m[2], "function")
-        doc = _comment_text(near[0])[0] or None if near else None
-        where = (*places.of(near.start()), *places.of(near.end())) if doc else (None,) * 4
-        rows.append((len(rows), name, kind, first, last, "\n".join(text[first - 1 : last]), "public" in m[1].split(), doc, col, end_col, *where))
+        (first, col), (last, end_col) = places.of(node.start), places.of(node.end)
+        near = jt.attached_doc(node, places, source)
+        doc = _comment_text(source[near.start : near.end])[0] or None if near else None
+        where = (*places.of(near.start), *places.of(near.end)) if doc else (None,) * 4
+        rows.append((len(rows), node.name, kind, first, last, "\n".join(text[first - 1 : last]), "public" in node.modifiers, doc, col, end_col, *where, _KINDS.get(node.kind, kind)))
     return rows
 
 
+def java_walk(source: str) -> list[tuple]:
+    """Every node in walk order, with the order numbers of its parent and of the sibling before."""
+    places, tree = jt.Places(source), jt.java_tree(source)
+    at = {id(n): k for k, n in enumerate(tree)}
+    return [(k, at.get(id(n.parent)), at.get(id(n.before)), n.kind, n.name, " ".join(n.modifiers), *places.of(n.start), *places.of(n.end), source[n.start : n.end]) for k, n in enumerate(tree)]
+
+
 def _exploded(df: DataFrame, parse: dict, schema: str, text_col: str) -> DataFrame:
     fields = [f.split() for f in schema.split(", ")]
     types = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
@@ -132,6 +112,12 @@ def _exploded(df: DataFrame, parse: dict, schema: str, text_col: str) -> DataFra
     return source.mapInArrow(run, f"{kinds}, {schema}")
 
 
+def syntax_tree(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """df: language, text, any keys; gives the keys and TREE_SCHEMA, a row for each node of the
+    Java files: declarations, class literals and comments, in walk order."""
+    return _exploded(df, {"Java": java_walk}, TREE_SCHEMA, text_col)
+
+
 def code_nodes(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df: language, text, any keys; gives the keys and NODE_SCHEMA.  Enums and records are no nodes."""
     return _declarations(df, text_col).where(F.col("type").isin("function", "class"))
@@ -142,8 +128,8 @@ def _declarations(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def entities(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """The documented entities and the comments of source files as rows of (keys, language,
-    entity, its text, token count, places of both, confidence).  Comments in the first
+    """The documented entities (function, constructor, class, interface, enum, record) and the
+    comments of source files as rows of (keys, language, entity, its text, token count, places of both, confidence).  Comments in the first
     column are of medium confidence, all others high."""
     from corvane.functions import text as T
 
@@ -151,7 +137,7 @@ def entities(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFram
     doc = F.when(F.col("language") == "Java", "javadoc").otherwise("docstring")
     places = (("start_line", "start"), ("end_line", "end"), ("start_col", "start_col"), ("end_col", "end_col"))
     named = _declarations(source, "__source").where("doc is not null").select(
-        *keys, "language", F.col("type").alias("entity_type"), F.col("name").alias("entity_name"), doc.alias("source_type"), F.col("doc").alias("doc_text"), T.count_tokens(F.col("doc")).alias("doc_token_count"),
+        *keys, "language", F.col("kind").alias("entity_type"), F.col("name").alias("entity_name"), doc.alias("source_type"), F.col("doc").alias("doc_text"), T.count_tokens(F.col("doc")).alias("doc_token_count"),
         F.col("doc_start").alias("doc_start_line"), F.col("doc_end").alias("doc_end_line"), "doc_start_col", "doc_end_col", *(F.col(c).alias(f"entity_{n}") for n, c in places), F.lit("high").alias("alignment_confidence"),
     )
     said = comments(source, "__source").where("not is_javadoc").select(
@@ -166,7 +152,8 @@ def comments(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def file_metrics(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """Counters of each file as aggregates over its nodes and comments."""
+    """Counters of each file as aggregates over its nodes and comments.  Lines of comments are
+    those of comments that are no doc comments; class literals count as classes."""
     from corvane.functions import text as T
 
     declared = _declarations(df.select(*keys, "language", text_col), text_col)
@@ -179,7 +166,7 @@ def file_metrics(df: DataFrame, keys: list[str], text_col: str = "text") -> Data
         )), F.collect_list(F.when(F.col("doc").isNotNull(), T.count_tokens(F.col("doc")).cast("int"))).alias("doc_lengths"))
     meaningful = T.is_meaningful_comment(F.col("text"))
     span = F.col("end") - F.col("start") + 1
-    found = comments(df.select(*keys, "language", F.col(text_col).alias("src")), "src").groupBy(*keys).agg(F.sum(span).alias("total_comment_lines"), F.coalesce(F.sum(F.when(meaningful, span)), F.lit(0)).alias("meaningful_comment_lines"), F.max(meaningful).alias("has_meaningful_comment"))
+    found = comments(df.select(*keys, "language", F.col(text_col).alias("src")), "src").where("not is_javadoc").groupBy(*keys).agg(F.sum(span).alias("total_comment_lines"), F.coalesce(F.sum(F.when(meaningful, span)), F.lit(0)).alias("meaningful_comment_lines"), F.max(meaningful).alias("has_meaningful_comment"))
     code = df.select(*keys, F.size(F.filter(T.lines(F.col(text_col)), lambda x: T.strip(x) != "")).alias("total_code_lines"))
     out = code.join(per, keys, "left").join(found, keys, "left")
     return out.fillna(0).fillna(False, ["has_meaningful_comment"]).withColumn("doc_lengths", F.coalesce("doc_lengths", F.array().cast("array<int>")))

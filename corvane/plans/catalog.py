@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import prompts, scoring
 from corvane.functions import text as T
-from corvane.operators import feeds, model, nodes, quality, relational
+from corvane.operators import feeds, model, quality, relational
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -433,30 +433,6 @@ def newest_orders(spark, sf):
     return relational.top_per_group(_t(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", 3, F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_custkey", "o_orderkey")
 
 
-#: A few small sources for the functions that read code.
-_SOURCES = [("a.py", "Python", 'class A:\n    """Doc of A here now."""\n    def f(self):\n        # adds two numbers\n        return 1\n\ndef _g():\n    pass\n'), ("bad.py", "Python", "def ("), ("B.java", "Java", "/** Does things. */\npublic class B {\n  // counts all the rows\n  private int n(int x) { return x; }\n}\n")]
-
-
-def _sources(spark):
-    return spark.createDataFrame(_SOURCES, "file_path string, language string, text string")
-
-
-@_query("select * from (values ('a.py', 0, 'A', 'class', 1, 5, true), ('a.py', 1, '_g', 'function', 7, 8, false), ('a.py', 2, 'f', 'function', 3, 5, true), ('B.java', 0, 'B', 'class', 2, 5, true), ('B.java', 1, 'n', 'function', 4, 4, false)) t(file_path, ord, name, type, \"start\", \"end\", is_public)")
-def code_nodes(spark, sf):
-    return nodes.code_nodes(_sources(spark)).select("file_path", "ord", "name", "type", "start", "end", "is_public")
-
-
-@_query("select * from (values ('a.py', 4, 'adds two numbers', true), ('B.java', 1, 'Does things.', false), ('B.java', 3, 'counts all the rows', true)) t(file_path, \"start\", text, meaningful)")
-def code_comments(spark, sf):
-    return nodes.comments(_sources(spark).withColumnRenamed("text", "src"), "src").select("file_path", "start", "text", T.is_meaningful_comment(F.col("text")).alias("meaningful"))
-
-
-@_query("select * from (values ('B.java', 1::bigint, 0::bigint, 1::bigint, 1::bigint, 2::bigint, true), ('a.py', 2, 0, 1, 1, 1, true), ('bad.py', 0, 0, 0, 0, 0, false)) t(file_path, total_functions, documented_functions, total_classes, documented_classes, total_comment_lines, has_meaningful_comment)")
-def source_metrics(spark, sf):
-    m = nodes.file_metrics(_sources(spark), ["file_path"])
-    return m.select("file_path", *(F.col(c).cast("long").alias(c) for c in ("total_functions", "documented_functions", "total_classes", "documented_classes", "total_comment_lines")), "has_meaningful_comment")
-
-
 @_query("select doc_id, length(text) || ' ' || left(text, 12) completion from documents")
 def model_slot(spark, sf):
     """The slot with a stand-in for a model that reads the whole prompt."""
@@ -469,7 +445,7 @@ def ordinals(spark, sf):
     return _docs(spark, sf).select("doc_id", "source", "n_chars", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("idx"))
 
 
-from corvane.plans import io_catalog, landed_catalog  # noqa: E402, F401  more queries of the same two tables
+from corvane.plans import code_catalog, io_catalog, landed_catalog  # noqa: E402, F401  more queries of the same two tables
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
