@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe_codec, chroma_prints, conversation_repair, decontamination, filter_audit, html_layout, kneser_ney, line_dedup, ngram_jaccard, token_counts, token_files, warc_derivatives
+from corvane.llm import bpe_codec, chroma_prints, conversation_repair, decontamination, filter_audit, html_layout, kneser_ney, line_dedup, ngram_jaccard, suffix_dedup, token_counts, token_files, warc_derivatives
 from corvane.llm._shared import shared_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,6 +71,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), BYTE_BPE, limit=512)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged and repaired."""
     return conversation_repair.repaired(_table(spark, sf_dir, "conversations"))
@@ -81,7 +85,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_derivatives, op2_html_layout, op3_kneser_ney, op4_line_dedup, op5_bpe_codec, op6_ngram_jaccard, op7_chroma_prints, op8_string_tiling, op9_token_files, op10_token_counts, op12_conversation_repair, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_html_layout, op3_kneser_ney, op4_line_dedup, op5_bpe_codec, op6_ngram_jaccard, op7_chroma_prints, op8_string_tiling, op9_token_files, op10_token_counts, op11_suffix_dedup, op12_conversation_repair, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
