@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators import intervals
 from corvane.operators.relational import top_per_group, uniform_sample
 
 #: Where a package names its repository and its changelog, in order.
@@ -72,7 +73,7 @@ def commit_pairs(rows: DataFrame, nodes: DataFrame, keys: list[str], sha: str =
     patches that touch named nodes; one touched name is high, more are medium."""
     told = rows.where((F.length("patch_text") > 0) & (F.col("doc_token_count") >= least))
     ranges = told.select(*keys, sha, F.explode(T.patch_ranges(F.col("patch_text"))).alias("r")).select(*keys, sha, F.col("r.start").alias("r_start"), F.col("r.end").alias("r_end"))
-    touched = ranges.join(nodes, keys).where("not (r_end < start or r_start > end)").groupBy(*keys, sha).agg(F.count_distinct("name").alias("n"))
+    touched = intervals.meeting(ranges, nodes, keys).groupBy(*keys, sha).agg(F.count_distinct("name").alias("n"))
     out = told.join(touched, [*keys, sha])
     return out.select(
         *keys, sha, uid("commit_message", *(F.col(k) for k in (*keys, sha))).alias("uid"), F.lit("commit_message").alias("source"),

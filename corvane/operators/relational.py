@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.scoring import QUOTAS
 from corvane.functions.text import seeded, strip
+from corvane.operators import intervals
 
 
 def first_by_key(df: DataFrame, key: Column, *order: Column, keep_null: bool = False) -> DataFrame:
@@ -48,17 +49,15 @@ def latest_before(df: DataFrame, group: str, ts: str, value: str, cutoff: Column
     return df.where(F.col(ts) <= cutoff).groupBy(group).agg(F.max(F.struct(ts, value)).alias("__m")).select(group, F.col(f"__m.{ts}").alias(ts), F.col(f"__m.{value}").alias(value))
 
 
-def enclosing(items: DataFrame, nodes: DataFrame, keys: list[str], item_id: list[str]) -> DataFrame:
+def enclosing(items: DataFrame, nodes: DataFrame, keys: list[str], item_id: list[str] | None = None) -> DataFrame:
     """Each item with the smallest node that holds it; ties go to the first in walk
     order.  items: keys, item_id, i_start, i_end; nodes: keys, ord, start, end, ..."""
-    pairs = items.join(nodes, keys).where("start <= i_start and end >= i_end")
-    best = Window.partitionBy(*keys, *item_id).orderBy(F.col("end") - F.col("start"), "ord")
-    return pairs.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
+    return intervals.smallest_enclosing(items, nodes, keys)
 
 
 def overlapping(ranges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct (keys, name) of the nodes that a range touches; ranges: keys, r_start, r_end."""
-    return ranges.join(nodes, keys).where("not (r_end < start or r_start > end)").select(*keys, "name").distinct()
+    return intervals.touched(ranges, nodes, keys).select(*keys, "name").distinct()
 
 
 def touched_names(ranges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
