@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import intervals
+from corvane.operators import intervals, ranks
 from corvane.operators.relational import top_per_group, uniform_sample
 
 #: Where a package names its repository and its changelog, in order.
@@ -129,13 +129,7 @@ def rows_per_minute(n: Column, seconds: Column) -> Column:
     return F.when(seconds > 0, n / seconds * 60).otherwise(F.lit(0.0))
 
 
-def global_batches(df: DataFrame, size: int, length: Column, key: str, spread: int = 1 << 20) -> DataFrame:
+def global_batches(df: DataFrame, size: int, length: Column, key: str) -> DataFrame:
     """Batches of rows in the order of (length, key) over the whole table; what does not fill the
-    last one is dropped.  Ranks come from windows over (length, range of keys), each of ``spread``
-    keys at most, and the sizes of these; key is a unique whole number."""
-    placed = df.withColumn("__n", length).withColumn("__p", F.floor(F.col(key) / spread))
-    placed = placed.withColumn("__r", F.row_number().over(Window.partitionBy("__n", "__p").orderBy(key)))
-    sizes = placed.groupBy("__n", "__p").agg(F.count("*").alias("__c"))  # one row a range
-    bases = sizes.withColumn("__b", F.sum("__c").over(Window.orderBy("__n", "__p")) - F.col("__c")).withColumn("__all", F.sum("__c").over(Window.partitionBy()))
-    ranked = placed.join(bases, ["__n", "__p"]).withColumn("__i", F.col("__b") + F.col("__r") - 1)
-    return ranked.where(F.col("__i") < F.col("__all") - F.col("__all") % size).withColumn("batch", F.floor(F.col("__i") / size)).drop("__n", "__p", "__r", "__c", "__b", "__all", "__i")
+    last one is dropped."""
+    return ranks.batched(df, size, length, F.col(key))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.scoring import QUOTAS
 from corvane.functions.text import seeded, strip
-from corvane.operators import intervals
+from corvane.operators import intervals, ranks
 
 
 def first_by_key(df: DataFrame, key: Column, *order: Column, keep_null: bool = False) -> DataFrame:
@@ -104,9 +104,7 @@ def group_split(df: DataFrame, group: str, train: float = 0.7, val: float = 0.15
 
 def full_batches(df: DataFrame, within: str, size: int, *order: Column) -> DataFrame:
     """Batches of a fixed size inside each group; what does not fill one is dropped."""
-    w = Window.partitionBy(within)
-    out = df.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__c", F.count("*").over(w))
-    return out.where(F.col("__i") < F.col("__c") - F.col("__c") % size).withColumn("batch", F.floor(F.col("__i") / size)).drop("__i", "__c")
+    return ranks.batched(df, size, *order, within=(within,))
 
 
 def not_done(df: DataFrame, done: DataFrame, key: str | list[str]) -> DataFrame:

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import prompts, scoring
 from corvane.functions import text as T
-from corvane.operators import feeds, model, quality, relational
+from corvane.operators import feeds, model, quality, ranks, relational
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -307,9 +307,9 @@ def qa_parse(spark, sf):
     return parsed.select("doc_id", T.text_or_empty(F.col("j.question")).alias("question"), T.text_or_empty(F.col("j.answer")).alias("answer"), F.col("j").isNull().alias("unreadable"))
 
 
-@_query("with k as (select doc_id, source, length(text) n from documents where length(text) <= 9000), r as (select *, row_number() over (partition by source order by n, doc_id) - 1 i, count(*) over (partition by source) c from k) select doc_id, source, n, i // 8 batch from r where i < c - c % 8")
+@_query("with k as (select doc_id, source, length(text) n from documents), r as (select *, row_number() over (partition by source order by n, doc_id) - 1 i, count(*) over (partition by source) c from k) select doc_id, source, n, i // 8 batch from r where i < c - c % 8")
 def length_sorted_batches(spark, sf):
-    rows = _docs(spark, sf).select("doc_id", "source", F.length("text").cast("long").alias("n")).where("n <= 9000")
+    rows = _docs(spark, sf).select("doc_id", "source", F.length("text").cast("long").alias("n"))
     return relational.full_batches(rows, "source", 8, F.col("n"), F.col("doc_id"))
 
 
@@ -442,7 +442,8 @@ def model_slot(spark, sf):
 
 @_query("select doc_id, source, n_chars, row_number() over (partition by source order by doc_id) - 1 idx from documents")
 def ordinals(spark, sf):
-    return _docs(spark, sf).select("doc_id", "source", "n_chars", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("idx"))
+    rows = _docs(spark, sf).select("doc_id", "source", "n_chars")
+    return ranks.ranked(rows, F.col("doc_id"), within=("source",), rank="idx").withColumn("idx", F.col("idx") - 1)
 
 
 from corvane.plans import code_catalog, io_catalog, landed_catalog  # noqa: E402, F401  more queries of the same two tables
