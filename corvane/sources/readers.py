@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-import zlib
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corvane.functions.text import ENTRY, lines, strip
+from corvane.sources import archives
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -75,42 +71,12 @@ def markdown_entries(pages: DataFrame, text_col: str = "value", marker: str = "g
     return out.where((F.col("name") != "") & F.contains(F.lower("link"), F.lit(marker)))
 
 
-#: Lists of needed paths are broadcast to the archives up to so many bytes.
-BROADCAST_BYTES = 32 << 20
-
-
 def archive_texts(spark: SparkSession, path: str, needed: DataFrame | None = None) -> DataFrame:
     """(archive, file_path, text) of ZIP archives: the first path segment is dropped and
     bytes are decoded with replacement.  With ``needed`` (archive, file_path) only those
-    members are unpacked, and archives without any are skipped; members of any size are
-    read, those that are damaged or locked are left out."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content")
-    if needed is None:
-        files = files.withColumn("paths", F.lit(None).cast("array<string>"))
-    else:
-        # as many paths as an archive has members; no text of a member is ever shuffled
-        wanted = needed.where("file_path is not null").groupBy("archive").agg(F.collect_set("file_path").alias("paths"))
-        size = needed.agg(F.sum(F.octet_length("archive") + F.octet_length("file_path") + 16)).first()[0] or 0
-        files = files.join(F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted.hint("shuffle_hash"), "archive")
-
-    def members(batches):
-        for batch in batches:
-            for name, content, paths in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                try:
-                    bundle = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
-                    continue
-                paths = None if paths is None else set(paths)
-                for info in bundle.infolist():
-                    inner = info.filename.partition("/")[2]
-                    if inner and not info.is_dir() and (paths is None or inner in paths):
-                        try:
-                            text = bundle.read(info).decode("utf-8", "replace")
-                        except (zipfile.BadZipFile, RuntimeError, NotImplementedError, zlib.error):
-                            continue
-                        yield pa.RecordBatch.from_pydict({"archive": [name], "file_path": [inner], "text": [text]})
-
-    return files.select("archive", "content", "paths").mapInArrow(members, "archive string, file_path string, text string")
+    members are read, and archives without any are skipped; what can't be read is left out
+    here and told by ``archives.archive_members``."""
+    return archives.archive_members(spark, path, needed).where("error is null").select("archive", "file_path", "text")
 
 
 def reward_cache(spark: SparkSession, path: str) -> DataFrame:
