@@ -44,7 +44,7 @@ from corvane.llm._words import mix
 
 LEAST, ANCHOR = 100, 32
 BATCHES = 4
-HOT = 4096
+HOT, SALTS = 4096, 64
 #: Bytes hashed at a time, bytes of a piece of a text, runs settled in a task at a time.
 BLOCK, PIECE, HELD = 1 << 19, 1 << 19, 1 << 19
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -365,8 +365,9 @@ def suffix_dedup(docs: DataFrame, texts: bool = False, batches: int = BATCHES, i
         for c, a in zip(levels.cuts[1:], levels.asks[1:], strict=True):
             cuts, asks = cuts.unionByName(c), asks.unionByName(a)
         asks = staged(asks.distinct(), "asks")
-        hot = asks.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot"))
-        asks = asks.join(hot, "anchor", "left").select(*_PLACE, "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))
+        # a hot anchor has over HOT rows, so its one row can be repeated for each salt
+        hot = asks.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        asks = asks.withColumn("salt", F.pmod(F.xxhash64(*_PLACE), F.lit(SALTS)).cast("int")).join(hot, ["anchor", "salt"], "left").select(*_PLACE, "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))
         ask = F.when(F.col("anchor").isNotNull(), F.struct("anchor", "hot", "at"))
         both = cuts.select(*_PLACE, F.lit(None).cast("long").alias("anchor"), F.lit(None).cast("boolean").alias("hot")).unionByName(asks)
         lists = both.groupBy("id", "sub").agg(F.collect_list(F.when(F.col("anchor").isNull(), F.col("at"))).alias("cuts"), F.collect_list(ask).alias("asks"))
