@@ -247,11 +247,16 @@ class _Parser:
                 self.body("class")
 
 
+def parsed(source: str) -> list[Node]:
+    """Nodes in no order; RecursionError where blocks are nested too deep."""
+    return _Parser(source).nodes
+
+
 def java_tree(source: str) -> list[Node]:
     """The nodes in walk order (each before what is in it), with parents and what sibling is
-    the one before; nodes that hold no other are not looked into."""
+    the one before; none where blocks are nested too deep."""
     try:
-        nodes = _Parser(source).nodes
+        nodes = parsed(source)
     except RecursionError:
         return []
     nodes.sort(key=lambda x: (x.start, -x.end))

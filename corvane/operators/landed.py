@@ -68,6 +68,16 @@ def commit_rows(files: DataFrame, message: str = "message", patch: str = "patch"
     )
 
 
+def commit_entities(files: DataFrame, repo: str = "repo_id", sha: str = "sha", path: str = "filename") -> DataFrame:
+    """The rows of changed files: commit_rows of files (parents array<string>, status, additions,
+    deletions) under the names that entities have."""
+    c = F.col
+    return commit_rows(files, path=path).select(
+        c(repo).alias("repo_id"), c(sha).alias("commit_sha"), F.try_element_at("parents", F.lit(1)).alias("parent_sha"), c(path).alias("file_path"), "language", "source_type", F.lit("changed_file").alias("entity_type"), c(path).alias("entity_name"),
+        F.lit("commit_message").alias("doc_type"), "doc_text", "doc_token_count", "patch_text", "patch_token_count", c("status").alias("change_status"), "additions", "deletions", "alignment_confidence",
+    )
+
+
 def commit_pairs(rows: DataFrame, nodes: DataFrame, keys: list[str], sha: str = "sha", least: int = 5) -> DataFrame:
     """(keys, sha, uid, source, confidence, text, code): messages of ``least`` tokens with the
     patches that touch named nodes; one touched name is high, more are medium."""

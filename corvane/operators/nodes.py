@@ -147,6 +147,39 @@ def entities(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFram
     return named.unionByName(said)
 
 
+def file_entities(df: DataFrame, text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """df: repo_id, file_path, commit_sha, language, text, extra columns; entities as rows with all
+    their columns, the extra ones last.  No source gives qualified names, so they are null."""
+    out = entities(df, ["repo_id", "file_path", "commit_sha", *extra], text_col).withColumn("qualified_name", F.lit(None).cast("string"))
+    places = [f"{kind}_{place}" for kind in ("doc", "entity") for place in ("start_line", "end_line", "start_col", "end_col")]
+    return out.select("repo_id", "file_path", "commit_sha", "language", "entity_type", "entity_name", "qualified_name", "source_type", "doc_text", "doc_token_count", *places, "alignment_confidence", *extra)
+
+
+def python_error(source: str) -> list[tuple]:
+    """(line, error) of a source that can't be parsed."""
+    try:
+        ast.parse(source)
+    except SyntaxError as e:
+        return [(e.lineno or 0, "parse", e.msg)]
+    except (ValueError, RecursionError, MemoryError) as e:
+        return [(0, "parse", type(e).__name__)]
+    return []
+
+
+def java_error(source: str) -> list[tuple]:
+    try:
+        jt.parsed(source)
+    except RecursionError:
+        return [(0, "parse", "RecursionError")]
+    return []
+
+
+def broken_sources(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """df: language, text, any keys; the keys, (line, stage, error) of each file that can't be read:
+    it has no nodes and counts nothing."""
+    return _exploded(df, {"Python": python_error, "Java": java_error}, "line int, stage string, error string", text_col)
+
+
 def comments(df: DataFrame, text_col: str = "text") -> DataFrame:
     return _exploded(df, {"Python": python_comments, "Java": java_comments}, COMMENT_SCHEMA, text_col)
 

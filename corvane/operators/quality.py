@@ -58,3 +58,10 @@ def repo_scores(metrics: DataFrame, commits: DataFrame | None = None, repo: str
     out = out.withColumn("comment_score", scoring.comment_score(F.col("meaningful_comment_file_ratio"), F.col("meaningful_comment_density"), F.col("comment_density")))
     out = out.withColumn("final_score", scoring.final_score(F.col("api_doc_score"), F.col("comment_score"), commit))
     return out.withColumn("quality_bucket", scoring.bucket(F.col("final_score")))
+
+
+def repo_records(docs: DataFrame, density: DataFrame, commits: DataFrame, scores: DataFrame, repo: str = "repo_id") -> DataFrame:
+    """One nested record a repository: the columns of ``docs``, core_density, and what ``commits``
+    and ``scores`` have as structs.  Repositories without commits have a null struct."""
+    nested = lambda df, name: df.select(repo, F.struct(*(F.col(f"`{c}`") for c in df.columns if c != repo)).alias(name))
+    return docs.join(density.select(repo, "core_density"), repo, "left").join(nested(commits, "commit_metrics"), repo, "left").join(nested(scores, "scores"), repo, "left")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.scoring import QUOTAS
-from corvane.functions.text import seeded, strip
+from corvane.functions.text import count_tokens, seeded, strip
 from corvane.operators import intervals, ranks
 
 
@@ -75,7 +75,7 @@ def quota_sample(df: DataFrame, category: str, language: str, key: Column, quota
     """At most quota // languages rows of each (category, language); a shortfall is not
     dealt out again."""
     quotas = QUOTAS if quotas is None else quotas
-    limits = df.select(category, language).distinct().groupBy(category).agg(F.count("*").alias("__langs"))
+    limits = df.where(F.col(category).isin(*quotas)).select(category, language).distinct().groupBy(category).agg(F.count("*").alias("__langs"))
     quota = F.coalesce(*(F.when(F.col(category) == c, F.lit(q)) for c, q in quotas.items()), F.lit(0))
     order = Window.partitionBy(category, language).orderBy(seeded(key, seed), key)
     most = max(quotas.values(), default=0)
@@ -107,6 +107,28 @@ def full_batches(df: DataFrame, within: str, size: int, *order: Column) -> DataF
     return ranks.batched(df, size, *order, within=(within,))
 
 
+#: Sources whose texts must be long enough, and the languages of pairs.
+DOC_SOURCES = ("docstring", "javadoc")
+LANGUAGES = ("Python", "Java")
+
+
+def telling_docs(df: DataFrame, source: str = "source", text: str = "text", least: int = 5) -> DataFrame:
+    """Without doc comments of fewer than ``least`` tokens; comments and commit messages of any length stay."""
+    return df.where(~F.coalesce(F.col(source).isin(*DOC_SOURCES), F.lit(False)) | (count_tokens(F.col(text)) >= least))
+
+
+def in_scope(df: DataFrame, language: str = "language", category: str = "category") -> DataFrame:
+    """Rows of a language that pairs are made of, and of some category."""
+    return df.where(F.col(language).isin(*LANGUAGES) & F.col(category).isNotNull())
+
+
+def with_sources(wanted: DataFrame, texts: DataFrame, keys: list[str], text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Wanted files with their texts, blank ones left out, and (keys) of the files that have none."""
+    met = wanted.join(texts.select(*keys, text, F.lit(True).alias("__there")), keys, "left")
+    found = met.where("__there").where(strip(F.col(text)) != "").drop("__there")
+    return found, met.where("__there is null").select(*keys)
+
+
 def not_done(df: DataFrame, done: DataFrame, key: str | list[str]) -> DataFrame:
     """Resume: what an earlier run has not written."""
     return df.join(done.select(key) if isinstance(key, str) else done.select(*key), key, "left_anti")

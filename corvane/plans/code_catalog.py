@@ -87,3 +87,10 @@ def java_walk(spark, sf):
 def entity_types(spark, sf):
     """Documented entities by type; a doc comment two lines above its declaration is none."""
     return nodes.entities(_sources(spark, sf), ["doc_id"]).where("entity_type <> 'comment'").select("doc_id", "entity_type", "entity_name", "doc_text")
+
+
+@_query("select doc_id, source repo_id, 'f' || doc_id file_path, 'abc' commit_sha, null::varchar qualified_name, unnest(case doc_id % 4 when 0 then [2, 4] when 1 then [1, 4, 6] when 2 then [2, 6] else [1] end)::int doc_start_line from documents")
+def file_entities(spark, sf):
+    """Entities of every file with all their columns and one more."""
+    keys = _docs(spark, sf).select("doc_id", F.col("source").alias("repo_id"), F.concat(F.lit("f"), F.col("doc_id")).alias("file_path"), F.lit("abc").alias("commit_sha"))
+    return nodes.file_entities(_sources(spark, sf).join(keys, "doc_id"), extra=("doc_id",)).select("doc_id", "repo_id", "file_path", "commit_sha", "qualified_name", "doc_start_line")

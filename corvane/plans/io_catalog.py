@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import landed, model
-from corvane.plans.catalog import _docs, _query, _t
-from corvane.sources import readers, writers
+from corvane.operators import chain, landed, model, observed, quality, relational, rewards
+from corvane.plans.catalog import _STRIPPED_SQL, _TURNS_SQL, _VALID, _docs, _query, _repo_files, _t, _turns
+from corvane.sources import checked, readers, writers
 from corvane.sources.storage import shared_folder
 from corvane.streaming import resume
 
@@ -126,3 +126,71 @@ def stream_resume(spark, sf):
         writers.append_json(rows, source)
         resume.append_new(spark, source, _ROW, target, checkpoint, "doc_id").awaitTermination()
     return spark.read.schema(_ROW).parquet(target).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@_query("select doc_id, case when doc_id % 7 = 0 then 'parse' when doc_id % 11 = 0 then 'required' else 'good' end stage from documents")
+def line_errors(spark, sf):
+    """Documents as JSON lines, some of them cut off or without a text; a row for each bad line."""
+    i = F.col("doc_id")
+    line = F.to_json(F.struct("doc_id", F.when((i % 7 == 0) | (i % 11 != 0), F.col("text")).alias("text")))
+    path = shared_folder(spark, "lines")
+    _docs(spark, sf).select(F.when(i % 7 == 0, F.left(line, F.length(line) - 1)).otherwise(line).alias("value")).write.text(path)
+    good, bad = checked.json_lines_checked(spark, path, _ROW, required=("text",))
+    return good.select("doc_id", F.lit("good").alias("stage")).unionByName(bad.select(F.regexp_extract("value", r"(\d+)", 1).cast("long").alias("doc_id"), "stage"))
+
+
+@_query("select count(*) filter (n_chars > 500) n_kept, count(*) filter (n_chars <= 500) n_skipped from documents")
+def observed_write(spark, sf):
+    """Documents written with a filter; how many were kept and left out comes with the write."""
+    told = observed.write_kept(_docs(spark, sf), F.col("n_chars") > 500, shared_folder(spark, "kept"))
+    return spark.createDataFrame([(told.n_kept, told.n_skipped)], "n_kept long, n_skipped long")
+
+
+@_query("select doc_id, round(length(text) / 8.0::double, 6) reward from documents")
+def cached_rewards(spark, sf):
+    """Rewards of whole texts by a stand-in for a model, half of them kept from an earlier run."""
+    table, docs = rewards.RewardTable(spark, shared_folder(spark, "rewards")), _docs(spark, sf).select("doc_id", "text")
+    score = lambda texts: [len(t[0]) / 8 for t in texts]
+    table.rewarded(docs.where("doc_id % 2 = 0"), ["text"], score)
+    return table.rewarded(docs, ["text"], score).select("doc_id", F.round("reward", 6).alias("reward"))
+
+
+_TWICE = "left(draft || chr(10) || chr(10) || draft, 60)"
+
+
+@_query(f"select conv_id, md5(case when {_VALID.format(_TWICE)} then {_TWICE} else draft end) answer_md5 from {_TURNS_SQL} where {_VALID.format('draft')}")
+def answer_chain(spark, sf):
+    """Drafts, gated, and improvements with a fallback, batch by batch with a log; the slots are
+    stand-ins: a draft is its prompt, an improvement the first 60 signs of what it is asked."""
+    rows = _turns(spark, sf).where("draft is not null").select("conv_id", F.col("draft").alias("prompt"))
+    out = chain.drafted_and_improved(rows, "conv_id", "prompt", lambda p: p, lambda p: [x[:60] for x in p], shared_folder(spark, "chain"), batches=2)
+    return out.select("conv_id", F.md5(F.col("final_answer").cast("binary")).alias("answer_md5"))
+
+
+@_query("select source repo_id, count(*) total_core_files, round(avg((doc_id % 3 <> 0)::int::double), 6) core_density, case when source in ('src0', 'src3') then null else count(*) end n_commits, 'bucket' is not null has_scores from documents group by 1")
+def repo_records(spark, sf):
+    """One nested record a repository; two of them have no commits."""
+    docs = quality.repo_metrics(_repo_files(spark, sf).withColumns({f"{p}_{c}": F.lit(0).cast("long") for p in ("total", "documented") for c in ("classes", "public_classes", "public_functions")}))
+    path = F.concat(F.when(F.col("doc_id") % 3 == 0, "docs/").otherwise("src/"), F.col("doc_id"), F.lit(".py"))
+    density = quality.core_density(_docs(spark, sf).select(F.col("source").alias("repo_id"), path.alias("file_path")))
+    commits = _docs(spark, sf).where(~F.col("source").isin("src0", "src3")).groupBy(F.col("source").alias("repo_id")).agg(F.count("*").alias("n_commits_seen"))
+    scores = quality.repo_scores(docs).select("repo_id", "api_doc_score", "comment_score", "final_score", "quality_bucket")
+    out = quality.repo_records(docs, density, commits, scores)
+    return out.select("repo_id", "total_core_files", F.round("core_density", 6).alias("core_density"), F.col("commit_metrics.n_commits_seen").alias("n_commits"), F.col("scores.quality_bucket").isNotNull().alias("has_scores"))
+
+
+@_query(f"select doc_id, 'found' state from documents d where doc_id % 3 <> 0 and doc_id % 5 <> 0 and {_STRIPPED_SQL} <> '' union all select doc_id, 'missing' from documents where doc_id % 3 = 0")
+def missing_sources(spark, sf):
+    """Wanted files with their texts and without the blank ones, and the list of those that are missing."""
+    d = _docs(spark, sf)
+    texts = d.where("doc_id % 3 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, " \n").otherwise(F.col("text")).alias("text"))
+    found, missing = relational.with_sources(d.select("doc_id"), texts, ["doc_id"])
+    return found.select("doc_id", F.lit("found").alias("state")).unionByName(missing.select("doc_id", F.lit("missing").alias("state")))
+
+
+@_query("select doc_id, case when doc_id % 4 = 0 then 'docstring' when doc_id % 4 = 1 then 'javadoc' else 'inline_comment' end source from (select doc_id, case when doc_id % 3 = 0 then 'so few words' else text end as text, doc_id % 6 <> 5 has from documents) where (doc_id % 4 > 1 or len(regexp_extract_all(text, '{TOK}')) >= 5) and has and doc_id % 5 <> 2")
+def pairs_in_scope(spark, sf):
+    """Pairs of the two languages that have a category, without doc comments that are too short."""
+    i = F.col("doc_id")
+    rows = _docs(spark, sf).select("doc_id", F.when(i % 4 == 0, "docstring").when(i % 4 == 1, "javadoc").otherwise("inline_comment").alias("source"), F.when(i % 3 == 0, "so few words").otherwise(F.col("text")).alias("text"), F.when(i % 5 == 2, "Ruby").when(i % 5 == 1, "Java").otherwise("Python").alias("language"), F.when(i % 6 != 5, "any").alias("category"))
+    return relational.in_scope(relational.telling_docs(rows)).select("doc_id", "source")

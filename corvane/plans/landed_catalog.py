@@ -211,3 +211,15 @@ def core_density(spark, sf):
     path = F.concat(F.when(F.col("doc_id") % 3 == 0, "docs/").otherwise("src/"), F.col("doc_id"), F.lit(".py"))
     out = quality.core_density(_docs(spark, sf).select(F.col("source").alias("repo_id"), path.alias("file_path")))
     return out.select("repo_id", F.round("core_density", 6).alias("core_density"))
+
+
+@_query(f"select user_id repo_id, event_id commit_sha, case when event_id % 2 = 0 then 'p' || event_id end parent_sha, 'f_' || event_id % 3 || '.py' file_path, 'changed_file' entity_type, 'Python' as lang, len(regexp_extract_all(event_type || ' of the parser', '{{TOK}}'))::bigint doc_token_count, 'modified' change_status, (event_id % 9)::int additions, (event_id % 4)::int deletions, 'medium' confidence from {_NEWEST_SQL}")
+def commit_entities(spark, sf):
+    """Rows of changed files with parents, status and counts of lines."""
+    e, i = _t(spark, sf, "events"), F.col("event_id")
+    commits = e.select(F.col("user_id").alias("repo_id"), i.alias("sha"), "ts", F.concat(F.col("event_type"), F.lit(" of the parser")).alias("message"))
+    file = F.struct(F.concat(F.lit("f_"), i % 3, F.lit(".py")).alias("filename"), F.lit("@@ -1 +1 @@").alias("patch"), F.lit("modified").alias("status"), (i % 9).cast("int").alias("additions"), (i % 4).cast("int").alias("deletions"))
+    parents = F.when(i % 2 == 0, F.array(F.concat(F.lit("p"), i))).otherwise(F.array().cast("array<string>"))
+    details = e.select(F.col("user_id").alias("repo_id"), i.alias("sha"), F.lit(200).alias("status"), parents.alias("parents"), F.array(file).alias("files"))
+    out = landed.commit_entities(landed.commit_files(commits, details))
+    return out.select("repo_id", "commit_sha", "parent_sha", "file_path", "entity_type", F.col("language").alias("lang"), "doc_token_count", "change_status", "additions", "deletions", F.col("alignment_confidence").alias("confidence"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corvane.functions.text import ENTRY, lines, strip
-from corvane.sources import archives
+from corvane.sources import archives, checked
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -43,22 +43,23 @@ def json_map(spark: SparkSession, path: str, value_schema: str, key: str = "name
 
 
 def json_any(spark: SparkSession, path: str, schema, required: tuple[str, ...] = ()) -> DataFrame:
-    """Array, single object or JSON lines, told apart by the first signs; required
-    columns must be there in every row."""
+    """Array, single object or JSON lines, told apart by the first signs; required columns
+    must be there in every row.  A bad line, or a row of lines that lacks a column, is an
+    error that names the file and the line."""
     schema = _struct(schema)
-    head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    line = F.trim("value")
+    head = spark.read.text(path).where(line != "").select(F.left(line, F.lit(1)).alias("first"), F.right(line, F.lit(1)).alias("last")).limit(1).collect()
     if not head:
         raise ValueError(f"{path} is empty")
-    first = head[0]["value"].strip()
-    if first.startswith("["):
-        out = json_document(spark, path, schema, missing_ok=False)
-    elif first.endswith("}"):
-        out = json_lines(spark, path, schema)
-    else:
-        out = json_document(spark, path, schema, missing_ok=False)
     lacking = set(required) - set(schema.names)
     if lacking:
         raise ValueError(f"schema lacks {sorted(lacking)}")
+    if head[0]["first"] != "[" and head[0]["last"] == "}":
+        out, errors = checked.json_lines_checked(spark, path, schema, required)
+        for e in errors.orderBy("file", "line").limit(1).collect():
+            raise ValueError(f"{e['file']}, line {e['line']}: {e['error']}")
+        return out
+    out = json_document(spark, path, schema, missing_ok=False)
     for c in required:
         out = out.withColumn(c, F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.raise_error(F.lit(f"a row lacks {c}")).cast(schema[c].dataType)))
     return out
