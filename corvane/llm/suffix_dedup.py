@@ -164,10 +164,14 @@ def sampled_suffixes(docs: DataFrame) -> DataFrame:
     return docs.select("id", "sub", "bytes").mapInArrow(run, _ENTRY)
 
 
+#: Buckets keep their order and serve joins by more columns; finished shuffles leave the disk.
+_BUCKETS = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+_TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 @contextmanager
-def _settings(spark: SparkSession):
-    """Buckets keep their order and serve joins by more columns; finished shuffles leave the disk."""
-    own = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+def _settings(spark: SparkSession, own: dict[str, str]):
+    """Settings for the writes of a block; afterwards the session has its own again."""
     before = {k: spark.conf.get(k) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)
@@ -354,13 +358,14 @@ def suffix_dedup(docs: DataFrame, texts: bool = False, batches: int = BATCHES, i
     named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), text.alias("text"))
     repeated = named.groupBy("id").agg(F.count("*").alias("n"), F.count("doc_id").alias("some")).where("n > 1 or some = 0").limit(1).count() > 0
     named = named.select("doc_id", "id", (F.xxhash64("text") if repeated else F.lit(0).cast("long")).alias("sub"), F.col("text").cast("binary").alias("bytes"))
-    with _settings(spark):
+    with _settings(spark, _BUCKETS | _TIDY):
         bounds = sorted(set(named.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 10_000)).first()[0] or [])) if batches > 1 else []
         levels = SuffixLevels(spark)
         for lo, hi in zip([None, *bounds], [*bounds, None], strict=True):
             some = named if lo is None else named.where(F.col("id") > lo)
             levels.add(some if hi is None else some.where(F.col("id") <= hi))
         levels.close()
+    with _settings(spark, _TIDY):
         cuts, asks = levels.cuts[0], levels.asks[0]
         for c, a in zip(levels.cuts[1:], levels.asks[1:], strict=True):
             cuts, asks = cuts.unionByName(c), asks.unionByName(a)
