@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests) a temporary folder is set.
+    Only where a local session names none (tests) a temporary folder is set; a cluster has to name it.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
         root = sc.getCheckpointDir()
     return root.rstrip("/")

@@ -16,6 +16,7 @@ an empty table; extra columns are not carried.
 
 from __future__ import annotations
 
+import bisect
 import bisect
 import re
 from html import unescape
@@ -47,6 +48,8 @@ _IMPLIED = {
     "tfoot": (frozenset({"thead", "tbody", "tfoot", "tr", "caption", "colgroup"}), frozenset({"table"})),
     "body": (frozenset({"head"}), frozenset()),
 }
+#: Elements whose end tags also end open cells.
+_TABLE_PARTS = frozenset({"table", "tr", "tbody", "thead", "tfoot"})
 _SCOPE = frozenset({"td", "th", "caption", "table", "button", "html", "template"})
 
 _TAG = re.compile(
@@ -82,37 +85,32 @@ class Node:
 
 
 class _Stack(list):
-    """Open elements, with the number of each tag, so that vain searches are spared."""
+    """Open elements, with the places of each tag, so that no search walks over them."""
 
     def __init__(self, root: Node):
         super().__init__([root])
-        self.open: dict[str, int] = {}
+        self.places: dict[str, list[int]] = {}
 
     def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self))
         self.append(node)
-        self.open[node.tag] = self.open.get(node.tag, 0) + 1
 
     def cut(self, at: int) -> None:
         for node in self[at:]:
-            self.open[node.tag] -= 1
+            self.places[node.tag].pop()
         del self[at:]
 
-    def holds(self, tags) -> bool:
-        return any(self.open.get(t) for t in tags)
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of the tags, 0 if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
 
 
 def _close(stack: _Stack, wanted: frozenset, limits: frozenset) -> None:
     """Close the outermost open element of ``wanted`` that is inside the nearest limit."""
-    if not stack.holds(wanted):
-        return
-    at = None
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in wanted:
-            at = k
-        elif stack[k].tag in limits:
-            break
-    if at is not None:
-        stack.cut(at)
+    limit = stack.last(*(limits - wanted))
+    inside = [p[bisect.bisect_right(p, limit)] for t in wanted if (p := stack.places.get(t)) and p[-1] > limit]
+    if inside:
+        stack.cut(min(inside))
 
 
 _RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
@@ -131,17 +129,13 @@ def build_tree(html: str) -> Node:
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            if tag == "p" and not stack.open.get("p"):
+            if tag == "p" and not stack.last("p"):
                 stack[-1].kids.append(Node("p"))
             elif tag == "br":
                 stack[-1].kids.append(Node("br"))
-            elif stack.open.get(tag):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        stack.cut(k)
-                        break
-                    if stack[k].tag in ("td", "th", "caption") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
-                        break
+            elif at_tag := stack.last(tag):
+                if tag in _TABLE_PARTS or at_tag >= stack.last("td", "th", "caption"):
+                    stack.cut(at_tag)
             continue
         name = m[2] or m[4]
         if not name:
@@ -150,13 +144,8 @@ def build_tree(html: str) -> Node:
         if tag in ("html", "body") and not (tag == "body" and stack[-1].tag in ("html", "head")):
             if tag == "html":
                 continue
-        if tag in _CLOSES_P and stack.open.get("p"):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    stack.cut(k)
-                    break
-                if stack[k].tag in _SCOPE:
-                    break
+        if tag in _CLOSES_P and (at_p := stack.last("p")) > stack.last(*_SCOPE):
+            stack.cut(at_p)
         if tag in _IMPLIED:
             _close(stack, *_IMPLIED[tag])
         elif tag in BLOCKS and stack[-1].tag == "head":

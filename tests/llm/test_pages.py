@@ -135,3 +135,15 @@ def test_layout_frames(spark):
     got = sorted(((r["page_id"] or 0, len(r["text"]), r["n_lines"]) for r in html_layout.rendered(df).collect()))
     assert got == [(0, 1, 1), (1, 1, 1), (1, 1, 1), (2, 0, 0), (3, 0, 0), (4, 399_999, 1)]
     assert html_layout.rendered(df.limit(0)).count() == 0
+
+
+def test_open_paragraphs_and_cells_are_looked_up():
+    """Scopes are not searched for by walking over open elements."""
+    import time
+
+    from corvane.llm import html_layout
+
+    for some in ("<p><button>" + "<div>" * 30_000, "<td>" + "<b>" * 20_000 + "</i>" * 20_000 + "</p>" * 20_000 + "<li>" * 20_000):
+        began = time.process_time()
+        html_layout.build_tree(some)
+        assert time.process_time() - began < 15
