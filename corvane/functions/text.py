@@ -59,7 +59,16 @@ def line_span(c: Column, first: Column, last: Column) -> Column:
 
 
 def is_meaningful_comment(c: Column) -> Column:
-    t = F.lower(strip(c))
+    return _is_telling(F.lower(strip(c)))
+
+
+def meaningful_lines(c: Column) -> Column:
+    """The lines of a text that are meaningful comments, stripped and in lower case.  A line is
+    stripped once: expressions in lambdas share nothing."""
+    return F.filter(F.transform(lines(c), lambda x: F.lower(strip(x))), _is_telling)
+
+
+def _is_telling(t: Column) -> Column:
     trivial = F.lit(False)
     for pattern in TRIVIAL_COMMENTS:
         trivial = trivial | t.rlike(rf"(?d)\A{pattern[1:-1]}$")

@@ -23,12 +23,16 @@ def last_by_key(df: DataFrame, key: Column, order: Column) -> DataFrame:
 
 def dedup_pairs(df: DataFrame, order: Column, code: str = "code", text: str = "text", confidence: str = "confidence") -> DataFrame:
     """One row for each stripped (code, text): the first of high confidence if there is
-    one, else the first; ``first_ord`` is where the pair came up first."""
-    w = Window.partitionBy("__c", "__t")
-    best = w.orderBy((F.col(confidence) == "high").desc_nulls_last(), order)
-    # texts are told apart by digests, so they are neither hashed again nor sorted by
-    out = df.withColumn("__c", F.sha2(strip(F.col(code)).cast("binary"), 256)).withColumn("__t", F.sha2(strip(F.col(text)).cast("binary"), 256))
-    return out.withColumn("first_ord", F.min(order).over(w)).withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__c", "__t", "__n")
+    one, else the first; ``first_ord`` is where the pair came up first.  ``order`` is
+    unique within a pair.  Digests are ranked, and whole rows only meet the chosen ones, by
+    digest and order, so a pair that a third of the rows hold is not gathered anywhere."""
+    digest = lambda c: F.sha2(strip(F.col(c)).cast("binary"), 256)
+    keyed = df.select("*", digest(code).alias("__c"), digest(text).alias("__t"), order.alias("__o"))
+    late = F.coalesce(F.col(confidence) != "high", F.lit(True))
+    best = keyed.groupBy("__c", "__t").agg(F.min("__o").alias("first_ord"), F.min(F.struct(late, F.col("__o").alias("o"))).alias("__best"))
+    chosen = best.select(F.col("__c").alias("__bc"), F.col("__t").alias("__bt"), "first_ord", F.col("__best.o").alias("__bo"))
+    same = F.col("__c").eqNullSafe(F.col("__bc")) & F.col("__t").eqNullSafe(F.col("__bt")) & F.col("__o").eqNullSafe(F.col("__bo"))
+    return keyed.join(chosen, same).drop("__c", "__t", "__o", "__bc", "__bt", "__bo")
 
 
 def status_of(df: DataFrame, key: Column, accepted: DataFrame, order: Column) -> DataFrame:

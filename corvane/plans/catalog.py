@@ -89,7 +89,8 @@ def repo_text_quality(spark, sf):
 
 @_query(f"select doc_id, count(*) n_lines, count(*) filter ({_MEANINGFUL.replace('x)', 'line)')}) n_meaningful from {_LINES} group by 1")
 def meaningful_lines(spark, sf):
-    return _lines_read(spark, sf).select("doc_id", F.size("r").cast("long").alias("n_lines"), F.size(F.filter("r", lambda x: x["told"])).cast("long").alias("n_meaningful"))
+    text = F.col("text")
+    return _docs(spark, sf).select("doc_id", F.size(T.lines(text)).cast("long").alias("n_lines"), F.size(T.meaningful_lines(text)).cast("long").alias("n_meaningful"))
 
 
 _PATH_SQL = "(select page_id, regexp_replace(url, '^[a-z]+://[^/]+/', '') || case page_id % 3 when 0 then '/test/A.py' when 1 then '/src/B.java' else '/c.md' end path from pages)"
