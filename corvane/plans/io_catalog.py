@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import chain, landed, model, observed, quality, relational, rewards
+from corvane.operators import budgets, chain, landed, model, observed, quality, relational, rewards
 from corvane.plans.catalog import _STRIPPED_SQL, _TURNS_SQL, _VALID, _docs, _query, _repo_files, _t, _turns
 from corvane.sources import checked, readers, writers
 from corvane.sources.storage import shared_folder
@@ -194,3 +194,10 @@ def pairs_in_scope(spark, sf):
     i = F.col("doc_id")
     rows = _docs(spark, sf).select("doc_id", F.when(i % 4 == 0, "docstring").when(i % 4 == 1, "javadoc").otherwise("inline_comment").alias("source"), F.when(i % 3 == 0, "so few words").otherwise(F.col("text")).alias("text"), F.when(i % 5 == 2, "Ruby").when(i % 5 == 1, "Java").otherwise("Python").alias("language"), F.when(i % 6 != 5, "any").alias("category"))
     return relational.in_scope(relational.telling_docs(rows)).select("doc_id", "source")
+
+
+@_query("select doc_id, length(text)::varchar completion, true fits from documents")
+def budget_batches(spark, sf):
+    """Whole texts in batches of a token budget; the slot is a stand-in that counts signs."""
+    done = budgets.completed(_docs(spark, sf).select("doc_id", "text"), "text", lambda p: [str(len(x)) for x in p], budget=4096)
+    return done.select("doc_id", "completion", ((F.col("batch_rows") == 1) | (F.col("batch_tokens") <= 4096)).alias("fits"))
