@@ -364,3 +364,32 @@ def repaired(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*some, strict=True), types, strict=True)], names)
 
     return stream.mapInArrow(run, f"conv_id {conv}, " + ", ".join(f"{n} long" for n in counts) + ", audit string, repaired_sha256 string")
+
+
+def _steps_sql() -> str:
+    """Rows (state, edit, initial, next state, cost, code, turns inserted, role given) of all macro edits."""
+    rows = []
+    for q in range(4):
+        at, said = q, []
+        for n in range(3):
+            ways = [("D", "", at, 3, ""), ("R", "", _INSERTED[at], 2, _NAMES[_INSERTED[at]]), *(("K", i, to, 0, "") for (s, i), to in _KEPT.items() if s == at)]
+            rows += [f"({q}, '{edit}', '{i}', {to}, {2 * n + cost}, '{'I' * n + edit}', [{', '.join(said)}]::varchar[], '{name}')" for edit, i, to, cost, name in ways]
+            at = _INSERTED[at]
+            said.append(f"'{_NAMES[at]}:'")
+    return ", ".join(rows)
+
+
+#: The same in DuckDB SQL, over the table conversations: whole audits, row after row.
+SQL = f"""with recursive k as (select conv_id conv, turn, coalesce(role, ' ') r0, coalesce(text, ' ') t0, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') s from conversations),
+ f as (select *, (xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(s, ''), lambda c: ascii(c)::ubigint)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::ubigint[], lambda x, y: xor(x >> 1, 3988292384::ubigint * (x & 1)))), 4294967295::ubigint) % 20)::int fault from k),
+ d as (select conv, turn, case fault when 4 then 'user' else r0 end as role, case fault when 1 then '' when 2 then regexp_replace(t0, '[.!?]', '', 'g') else t0 end as text, unnest(range(case fault when 3 then 2 else 1 end)) nth from f where fault <> 0),
+ o as (select *, row_number() over (partition by conv order by turn nulls first, role, sha256(text), nth) pos, regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g') bare from d),
+ x as (select *, bare = '' gone, row_number() over (partition by conv, role, text order by pos) > 1 again, not regexp_matches(bare, '[.!?]$') cut, left(role, 1) i, left(lag(role) over (partition by conv order by pos), 1) || left(role, 1) pair from o),
+ t(q, edit, init, dest, cost, code, ins, named) as (values {_steps_sql()}),
+ p(conv, pos, q, best) as (select distinct conv, 0::bigint, 0, {{'c': 0::bigint, 'a': '', 's': []::varchar[]}} from x
+  union all select p.conv, p.pos + 1, t.dest, min({{'c': p.best.c + t.cost + case when t.edit <> 'D' and x.cut then 1 else 0 end, 'a': p.best.a || t.code, 's': p.best.s || t.ins || case t.edit when 'K' then [x.role || ':' || x.text] when 'R' then [t.named || ':' || x.text] else []::varchar[] end}})
+  from p join x on x.conv is not distinct from p.conv and x.pos = p.pos + 1 join t on t.q = p.q and (t.edit = 'D' or not (x.gone or x.again)) and (t.edit <> 'K' or t.init = x.i) group by 1, 2, 3),
+ n as (select conv, count(*) rows, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (gone) blank, count(*) filter (again and not gone) duplicate, count(*) filter (cut and not gone and not again) truncated, count(*) filter (pair not in ('su', 'ua', 'au')) illegal from x group by 1),
+ e as (select n.conv, min({{'c': best.c + case q when 2 then 2 when 1 then 4 else 0 end, 'a': best.a || case q when 2 then 'I' when 1 then 'II' else '' end, 's': best.s || case q when 2 then ['assistant:'] when 1 then ['user:', 'assistant:'] else []::varchar[] end}}) b from p join n on p.conv is not distinct from n.conv and p.pos = n.rows group by 1)
+ select a.conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0)::bigint blank, coalesce(duplicate, 0)::bigint duplicate, coalesce(truncated, 0)::bigint truncated, coalesce(illegal, 0)::bigint illegal, coalesce(b.c, 0)::bigint as cost, coalesce(b.a, '') audit, sha256(coalesce(array_to_string(b.s, chr(10)), '')) repaired_sha256
+ from (select distinct conv_id from conversations) a left join n on a.conv_id is not distinct from n.conv left join e on a.conv_id is not distinct from e.conv"""

@@ -89,4 +89,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_filter_audit": filter_audit.SQL}
+    return {"op12_conversation_repair": conversation_repair.SQL, "op13_filter_audit": filter_audit.SQL}

@@ -5,9 +5,11 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 
 from corvane.llm import conversation_repair as cr
+from corvane.llm import queries
 
 NEXT = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
 
@@ -105,6 +107,14 @@ def test_whole_table(spark, sf_dir):
     assert order(cr.repaired(table).collect()) == order(brute([tuple(r) for r in table.select("conv_id", "turn", "role", "text").collect()]))
 
 
+def test_query_equals_its_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{sf_dir}/conversations.parquet')")
+    cur = con.execute(queries.oracle_sql()["op12_conversation_repair"])
+    names, want = [d[0] for d in cur.description], cur.fetchall()
+    assert order(queries.queries()["op12_conversation_repair"](spark, sf_dir).select(names).collect()) == order(want)
+
+
 def test_edges(spark):
     rng = random.Random(3)
     text = lambda: rng.choice([None, "", " \t", "Yes.", "No", "a b?", "x" * 50_000 + ".", "\xa0", "é!\n", "same.", "same."])
