@@ -102,13 +102,21 @@ class _Stack(list):
 
     def last(self, *tags: str) -> int:
         """The place of the innermost open element of the tags, 0 if there is none."""
-        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+        at = 0
+        for t in tags:
+            p = self.places.get(t)
+            if p and p[-1] > at:
+                at = p[-1]
+        return at
 
 
 def _close(stack: _Stack, wanted: frozenset, limits: frozenset) -> None:
     """Close the outermost open element of ``wanted`` that is inside the nearest limit."""
+    found = [p for t in wanted if (p := stack.places.get(t))]
+    if not found:
+        return
     limit = stack.last(*(limits - wanted))
-    inside = [p[bisect.bisect_right(p, limit)] for t in wanted if (p := stack.places.get(t)) and p[-1] > limit]
+    inside = [p[bisect.bisect_right(p, limit)] for p in found if p[-1] > limit]
     if inside:
         stack.cut(min(inside))
 
@@ -144,7 +152,7 @@ def build_tree(html: str) -> Node:
         if tag in ("html", "body") and not (tag == "body" and stack[-1].tag in ("html", "head")):
             if tag == "html":
                 continue
-        if tag in _CLOSES_P and (at_p := stack.last("p")) > stack.last(*_SCOPE):
+        if tag in _CLOSES_P and (at_p := stack.last("p")) and at_p > stack.last(*_SCOPE):
             stack.cut(at_p)
         if tag in _IMPLIED:
             _close(stack, *_IMPLIED[tag])
