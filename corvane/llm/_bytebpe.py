@@ -138,6 +138,8 @@ class ByteVocab:
         if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer") or model.get("ignore_merges"):
             raise ValueError(f"{path}: not a plain byte-level BPE vocabulary")
         shown = _visible_bytes()
+        #: of each byte, as a Latin-1 character, the sign that stands for it in the vocabulary
+        self.shown = {b: c for c, b in shown.items()}
         self.path = path
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):

@@ -18,7 +18,7 @@ its own and renames at the end, so a task that is run again after a lost executo
 replaces its files as a whole.
 
 Encoding is that of the ``tokenizers`` library: for plain byte-level vocabularies
-the library encodes each distinct pre-token once per worker, else whole texts.
+the library's model encodes each distinct pre-token once per worker, else the library whole texts.
 
 Defined results: a null text is an empty text (only the end id); rows with a null
 id come first; rows that share an id keep their own entries, in a fixed order that
@@ -31,6 +31,7 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import struct
 import uuid
 
 import numpy as np
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm._bytebpe import cut_pretokens, joined_points, load_vocab
+from corvane.llm._bytebpe import ByteVocab, cut_pretokens, joined_points, load_vocab
 from corvane.llm._shared import slices, small_batches, text_chunks
 
 CACHE_ENTRIES = 1 << 20
@@ -50,6 +51,19 @@ PART_BYTES = 1 << 28
 READ_IDS = 1 << 22
 
 
+class _Learned(dict):
+    """Ids of pre-tokens, both as bytes.  As they are pre-tokens already, the library's model is
+    asked without the library's other steps."""
+
+    def __init__(self, model, vocab: ByteVocab):
+        self.tokenize, self.shown = model.tokenize, vocab.shown
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = [t.id for t in self.tokenize(word.decode("latin-1").translate(self.shown))]
+        self[word] = out = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+
 class LibraryEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -63,24 +77,19 @@ class LibraryEncoder:
         except ValueError:
             self.vocab = None
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.cache: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 4096):
-            part = words[lo : lo + 4096]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+        self.cache = _Learned(self.library.model, self.vocab) if self.vocab else {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         big, points, first, lens = joined_points(texts)
         if not len(points):
             return [b""] * len(texts)
         starts = np.flatnonzero(cut_pretokens(points, first))
-        ends = np.append(starts[1:], len(points))
-        words = [big[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        raw = np.frombuffer(big.encode(), np.uint8)
+        at = np.flatnonzero(raw & 0xC0 != 0x80)[starts]
+        # no UTF-8 text holds the byte 255
+        words = np.insert(raw, at[1:], 255).tobytes().split(b"\xff")
         if len(self.cache) >= CACHE_ENTRIES:
             self.cache.clear()
-        self._learn([w for w in dict.fromkeys(words) if w not in self.cache])
         coded = list(map(self.cache.__getitem__, words))
         bounds = np.append(np.searchsorted(starts, np.cumsum(lens) - lens), len(starts)).tolist()
         return [b"".join(coded[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
