@@ -12,13 +12,19 @@ import ast
 import io
 import re
 import tokenize
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators import java_tree as jt
 
+#: Text that is parsed at once, in bytes.
+AT_ONCE = 1 << 20
+
 NODE_SCHEMA = "ord int, name string, type string, start int, end int, code string, is_public boolean, doc string, start_col int, end_col int, doc_start int, doc_start_col int, doc_end int, doc_end_col int, kind string"
 TREE_SCHEMA = "ord int, parent int, before int, kind string, name string, modifiers string, start int, start_col int, end int, end_col int, text string"
 COMMENT_SCHEMA = "start int, start_col int, end int, end_col int, text string, is_javadoc boolean"
@@ -91,8 +97,22 @@ def java_walk(source: str) -> list[tuple]:
     return [(k, at.get(id(n.parent)), at.get(id(n.before)), n.kind, n.name, " ".join(n.modifiers), *places.of(n.start), *places.of(n.end), source[n.start : n.end]) for k, n in enumerate(tree)]
 
 
-def _exploded(df: DataFrame, parse: dict, schema: str, text_col: str) -> DataFrame:
-    fields = [f.split() for f in schema.split(", ")]
+def _stretches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of at most AT_ONCE bytes, or one longer text: only a run at a time
+    is held as Python objects, with what is made of it."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo, before = 0, 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, before + AT_ONCE, side="right")))
+        yield lo, hi
+        lo, before = hi, int(ends[hi - 1])
+
+
+def _exploded(df: DataFrame, parse: dict, schema: str, text_col: str, only: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of the files by ``parse``; ``only`` names the columns to keep, if not all of the schema."""
+    named = [f.split() for f in schema.split(", ")]
+    wanted = [k for k, (n, _) in enumerate(named) if not only or n in only]
+    fields = [named[k] for k in wanted]
     types = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
     keep = [c for c in df.columns if c != text_col]
     source = df.select(*keep, F.col(text_col))
@@ -100,16 +120,18 @@ def _exploded(df: DataFrame, parse: dict, schema: str, text_col: str) -> DataFra
 
     def run(batches):
         for batch in batches:
-            where, rows = [], []
-            for i, (lang, src) in enumerate(zip(batch.column(at).to_pylist(), batch.column(len(keep)).to_pylist(), strict=True)):
-                for r in parse[lang](src) if lang in parse and src else ():
-                    where.append(i)
-                    rows.append(r)
-            at_rows = pa.array(where, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at_rows) for k in range(len(keep))), *(pa.array([r[k] for r in rows], types[t]) for k, (_, t) in enumerate(fields))], [*keep, *(n for n, _ in fields)])
+            for lo, hi in _stretches(batch.column(len(keep))):
+                part = batch.slice(lo, hi - lo)
+                where, rows = [], []
+                for i, (lang, src) in enumerate(zip(part.column(at).to_pylist(), part.column(len(keep)).to_pylist(), strict=True)):
+                    for r in parse[lang](src) if lang in parse and src else ():
+                        where.append(i)
+                        rows.append(tuple(r[k] for k in wanted))
+                at_rows = pa.array(where, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(at_rows) for k in range(len(keep))), *(pa.array([r[k] for r in rows], types[t]) for k, (_, t) in enumerate(fields))], [*keep, *(n for n, _ in fields)])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != text_col)
-    return source.mapInArrow(run, f"{kinds}, {schema}")
+    return source.mapInArrow(run, f"{kinds}, {', '.join(map(' '.join, fields))}")
 
 
 def syntax_tree(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -123,8 +145,8 @@ def code_nodes(df: DataFrame, text_col: str = "text") -> DataFrame:
     return _declarations(df, text_col).where(F.col("type").isin("function", "class"))
 
 
-def _declarations(df: DataFrame, text_col: str) -> DataFrame:
-    return _exploded(df, {"Python": python_nodes, "Java": java_nodes}, NODE_SCHEMA, text_col)
+def _declarations(df: DataFrame, text_col: str, only: tuple[str, ...] = ()) -> DataFrame:
+    return _exploded(df, {"Python": python_nodes, "Java": java_nodes}, NODE_SCHEMA, text_col, only)
 
 
 def entities(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -189,7 +211,7 @@ def file_metrics(df: DataFrame, keys: list[str], text_col: str = "text") -> Data
     those of comments that are no doc comments; class literals count as classes."""
     from corvane.functions import text as T
 
-    declared = _declarations(df.select(*keys, "language", text_col), text_col)
+    declared = _declarations(df.select(*keys, "language", text_col), text_col, ("type", "is_public", "doc"))
     per = declared.withColumn("type", F.when(F.col("type") == "function", "function").otherwise("class")).groupBy(*keys).agg(
         *(F.count_if(cond).alias(name) for name, cond in (
             ("total_functions", F.expr("type = 'function'")), ("documented_functions", F.expr("type = 'function' and doc is not null")),
