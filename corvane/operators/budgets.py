@@ -57,22 +57,25 @@ def completed(df: DataFrame, prompt: str, generate: Callable[[list[str]], list[s
     """Adds ``generate``'s completions, and of each row's batch ``batch_rows`` and ``batch_tokens``,
     the tokens with padding; ``n_tokens`` are the row's own.  Null prompts are empty ones."""
     text = F.coalesce(F.col(f"`{prompt}`").cast("string"), F.lit(""))
-    told = df.withColumn("n_tokens", count_tokens(text)).withColumn("__prompt", text)
-    ordered = told.repartitionByRange("n_tokens", F.xxhash64("__prompt")).sortWithinPartitions("n_tokens")
+    told = df.withColumn("n_tokens", count_tokens(text))
+    ordered = told.repartitionByRange("n_tokens", F.xxhash64(text)).sortWithinPartitions("n_tokens")
+    at = [c.lower() for c in df.columns].index(prompt.lower())
+    if df.schema[at].dataType.simpleString() != "string":  # else the prompts are moved once, as the column that they are
+        ordered, at = ordered.withColumn("__prompt", text), len(df.columns) + 1
     own, names = len(df.columns), [*df.columns, "n_tokens", output, "batch_rows", "batch_tokens"]
 
     def run(batches):
         def parts():
             for batch in batches:
-                lengths, prompts = batch.column(own).to_pylist(), batch.column(own + 1).to_pylist()
-                for lo, hi in bins(lengths, budget, most_rows):
-                    yield batch.slice(lo, hi - lo), prompts[lo:hi]
+                for lo, hi in bins(batch.column(own).to_pylist(), budget, most_rows):
+                    part = batch.slice(lo, hi - lo)
+                    yield part, [p or "" for p in part.column(at).to_pylist()]
 
         for part, answers in pumped(parts(), generate, most_open, threads):
             n, longest = part.num_rows, max(part.column(own).to_pylist())
             yield pa.RecordBatch.from_arrays([*part.columns[: own + 1], pa.array(answers, pa.string()), pa.array([n] * n, pa.int32()), pa.array([n * longest] * n, pa.int64())], names)
 
-    shape = told.drop("__prompt").withColumns({output: F.lit(None).cast("string"), "batch_rows": F.lit(None).cast("int"), "batch_tokens": F.lit(None).cast("long")})
+    shape = told.withColumns({output: F.lit(None).cast("string"), "batch_rows": F.lit(None).cast("int"), "batch_tokens": F.lit(None).cast("long")})
     return ordered.mapInArrow(run, shape.schema)
 
 
