@@ -41,8 +41,9 @@ SMOOTHING = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 WIDTH = 16
 MIN_FRAMES = WIDTH + len(SMOOTHING) - 1
 KEY_BITS = 24
-#: Cuts are fitted on so many recordings, and on so many places of each.
-SAMPLE, PLACES = 400, 1024
+#: Filter values are counted in steps of 1/STEPS; they stay within log(1 + 12 * WIDTH) of zero.
+STEPS, COARSE = 4096, 256
+SPAN = 2 * STEPS * 6
 SPLITS = 8
 MOST_ERRORS = 0.2
 #: Frames whose spectra are held at once.
@@ -127,27 +128,46 @@ def fingerprint(pcm: bytes | None, cuts: np.ndarray) -> np.ndarray:
     return pack(responses(image), cuts) if len(image) >= WIDTH else np.zeros(0, np.uint32)
 
 
-def sample_ids(df: DataFrame, id_col: str) -> list[int]:
-    """The SAMPLE smallest ids by hash; only the ids are read."""
-    rows = df.select(F.col(id_col).cast("long").alias("i")).where("i is not null").select("i", F.xxhash64("i").alias("h")).distinct().orderBy("h", "i").limit(SAMPLE)
-    return [r["i"] for r in rows.collect()]
-
-
 def fit_cuts(df: DataFrame, id_col: str, pcm_col: str) -> np.ndarray:
-    """Quartiles of each filter over a bounded sample: PLACES places of the recordings of SAMPLE ids."""
+    """Quartiles of each filter over every place of all recordings with an id, rounded up to
+    steps of 1/STEPS.  Values are counted by step; only the counts of COARSE steps, and of the
+    steps in those that hold a quartile, come to the driver: both are bounded by the range of
+    the values."""
 
     def run(batches):
+        counts = np.zeros(16 * SPAN, np.int64)
         for batch in batches:
-            for pcm in batch.column(0).to_pylist():
+            for pcm in batch.column(0):
+                pcm = pcm.as_py()
                 image = chroma(np.frombuffer(pcm[: len(pcm) // 2 * 2], "<i2")) if pcm else np.zeros((0, 12))
                 if len(image) >= WIDTH:
-                    found = responses(image)
-                    some = found[np.unique(np.linspace(0, len(found) - 1, PLACES).astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays([pa.array([some.astype("<f4").tobytes()], pa.binary())], ["values"])
-
-    chosen = df.where(F.col(id_col).isin(sample_ids(df, id_col))).select(pcm_col)
-    values = [np.frombuffer(r["values"], "<f4").reshape(-1, 16) for r in chosen.mapInArrow(run, "values binary").limit(SAMPLE).collect()]
-    return np.quantile(np.concatenate(values), [0.25, 0.5, 0.75], axis=0).T if values else np.zeros((16, 3))
+                    step = np.ceil(responses(image) * STEPS).astype(np.int64) + SPAN // 2
+                    at, n = np.unique(step + SPAN * np.arange(16), return_counts=True)
+                    counts[at] += n
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array((at // SPAN).astype(np.int32)), pa.array((at % SPAN - SPAN // 2).astype(np.int32)), pa.array(counts[at])], ["k", "step", "n"])
+
+    told = df.where(F.col(id_col).isNotNull()).select(pcm_col).mapInArrow(run, "k int, step int, n long")
+    told = staged(told.groupBy("k", "step").agg(F.sum("n").alias("n")), "steps")
+    coarse = F.floor(F.col("step") / COARSE).cast("int")
+    wide = sorted(told.groupBy("k", coarse.alias("c")).agg(F.sum("n").alias("n")).collect())
+    if not wide:
+        return np.zeros((16, 3))
+    asked, cuts = [], np.zeros((16, 3))
+    for k in range(16):
+        mine = [r for r in wide if r["k"] == k]
+        ends = np.cumsum([r["n"] for r in mine])
+        for q in range(3):
+            # the quartile is the value of this rank
+            rank = -(-int(ends[-1]) * (q + 1) // 4)
+            at = int(np.searchsorted(ends, rank))
+            asked.append((k, q, mine[at]["c"], rank - int(ends[at] - mine[at]["n"])))
+    near = told.where(F.struct("k", coarse).isin([F.struct(F.lit(k), F.lit(c)) for k, _, c, _ in asked]))
+    fine = sorted(near.collect())
+    for k, q, c, rank in asked:
+        mine = [r for r in fine if r["k"] == k and r["step"] // COARSE == c]
+        cuts[k, q] = mine[int(np.searchsorted(np.cumsum([r["n"] for r in mine]), rank))]["step"] / STEPS
+    return cuts
 
 
 def fingerprints(df: DataFrame, cuts: np.ndarray, id_col: str = "id", pcm_col: str = "pcm") -> DataFrame:

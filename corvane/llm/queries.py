@@ -51,8 +51,7 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chroma_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hundredth recording with its class and its links to all recordings."""
     table = _table(spark, sf_dir, "embeddings")
-    sample = table.where(F.col("vec_id").isin(chroma_prints.sample_ids(table, "vec_id")))
-    cuts = chroma_prints.fit_cuts(chroma_prints.recordings(sample), "id", "pcm")
+    cuts = chroma_prints.fit_cuts(chroma_prints.recordings(table), "id", "pcm")
     prints = chroma_prints.fingerprints(chroma_prints.recordings(table), cuts)
     return chroma_prints.link_counts(prints, silent=chroma_prints.silent_print(cuts)).withColumnRenamed("id", "vec_id")
 
