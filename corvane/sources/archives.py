@@ -40,12 +40,13 @@ def _schema(ddl: str) -> pa.Schema:
 
 
 def archive_paths(spark: SparkSession, path: str) -> DataFrame:
-    """(archive): the files of a glob; they are listed, not read."""
+    """(archive): the files of a glob; they are listed, not read.  A task takes many of them, as each
+    task tells the driver some kilobytes about itself."""
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     found = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hpath) or []
     names = [(s.getPath().toString(),) for s in found if s.isFile()]
-    return spark.createDataFrame(names, "archive string").repartition(max(1, min(len(names), 10_000)))
+    return spark.createDataFrame(names, "archive string").repartition(max(1, min(len(names), int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
 
 def archive_listing(archives: DataFrame) -> DataFrame:
